@@ -1,0 +1,11 @@
+"""The query catalogue: name -> DataFrame function, and the same in DuckDB SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
