@@ -10,6 +10,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ctxspark.session import ensure_checkpoint_dir
 
@@ -133,3 +134,9 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def struct(spec: str) -> T.StructType:
+    """A struct type from "name type, ..."; works at import, without a session."""
+    kinds = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (x.split() for x in spec.split(","))])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ctxspark.llm import simhash
+from ctxspark.llm import simhash, substring
 
 
 def queries() -> dict:
     return {
+        "op2_substring_cms": substring.op2_substring_cms,
         "op10_simhash_bktree": simhash.op10_simhash_bktree,
     }
 
