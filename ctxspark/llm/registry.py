@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from ctxspark.llm import simhash, substring
+from ctxspark.llm import bloom_lm, bpe, mixing, quality_rules, simhash, substring
 
 
 def queries() -> dict:
     return {
         "op2_substring_cms": substring.op2_substring_cms,
+        "op3_temperature_mixing": mixing.op3_temperature_mixing,
+        "op4_bpe_transducer": bpe.op4_bpe_transducer,
+        "op5_host_rules": quality_rules.op5_host_rules,
+        "op9_bloom_lm": bloom_lm.op9_bloom_lm,
         "op10_simhash_bktree": simhash.op10_simhash_bktree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_temperature_mixing": mixing.OP3_SQL, "op5_host_rules": quality_rules.OP5_SQL}

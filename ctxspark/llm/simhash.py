@@ -189,20 +189,39 @@ def links(fingerprints: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS
     return shards.mapInArrow(_linker(radius, shard_rows), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fp (signed), component_id (least doc_id reachable by links).
+def classes(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """prints (doc_id, fp) -> one row per fingerprint: fp_, root (a fingerprint that names the class), component_id (its least doc_id).
 
     Rows of one fingerprint are merged before anything is compared, so thousands of copies cost one node.
     """
-    prints = common.cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), "fp").select("doc_id", "fp"))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = common.components(links(nodes.select("fp"), radius))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select(F.col("fp").alias("fp_"), "component_id")
-    return prints.join(classes, F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id")
+    return rooted.join(least, "root").select(F.col("fp").alias("fp_"), "root", "component_id")
+
+
+def _prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    only = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return common.cut(with_fingerprint(only, "fp").select("doc_id", "fp"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, fp (signed), component_id (least doc_id reachable by links)."""
+    prints = _prints(docs, doc_id, text)
+    return prints.join(classes(prints, radius), F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stand for their class: those with its least id, and only one of repeated rows."""
+    found = classes(_prints(docs, doc_id, text), radius).select(
+        F.col("fp_").alias("__fp_"), F.col("root").alias("__root"), F.col("component_id").alias("__component")
+    )
+    printed = with_fingerprint(docs, "__fp", text)
+    kept = printed.join(found, F.col("__fp") == F.col("__fp_")).where(F.col(doc_id).eqNullSafe(F.col("__component")))
+    return kept.dropDuplicates(["__root"]).drop("__fp", "__fp_", "__root", "__component")
 
 
 def hex_of(fp):
