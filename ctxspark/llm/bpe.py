@@ -2,9 +2,9 @@
 
 The encoding of a prefix ends in the one token t for which the encoding of the rest ends in a token that stays apart
 from t when both are merged together. A state of the transducer is what can still matter: the pending bytes (the longest
-suffix that a longer token could start with) and, for every cut within them, the tokens that the encoding up to the cut
+suffix that a longer token could start with) and, for every live cut within them, the tokens that the encoding up to the cut
 doesn't share with the others. On a byte, the tokens that all remaining cuts share are emitted, so the lookahead is bounded
-by the longest token. States and transitions are made when first met and kept, up to a bound.
+by the longest token. Transitions and states are made when they are met again, and kept up to a bound; what is met once is run without.
 
 Defined results: null text counts as empty, an empty text has no tokens; white space and unknown bytes are text like any
 other; repeated rows come out as often as they came in; an empty table gives an empty result.
@@ -13,6 +13,7 @@ other; repeated rows come out as often as they came in; an empty table gives an
 from __future__ import annotations
 
 import base64
+import gc
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -21,9 +22,10 @@ from pyspark.sql import types as T
 
 from ctxspark.llm import common
 
-MAX_STATES = 100_000
+MAX_STATES = 200_000
 MAX_PAIRS = 1_000_000
-MAX_PIECES = 200_000
+MAX_PIECES = 800_000
+BYTES = [bytes((b,)) for b in range(256)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -31,12 +33,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class State:
-    __slots__ = ("pending", "tails", "sent", "next", "rest")
+class State(dict):
+    """Transitions by byte: the next state and the tokens emitted; None for one that was met once so far."""
+
+    __slots__ = ("pending", "tails", "sent", "rest")
 
     def __init__(self, pending: bytes, tails: tuple, sent: int) -> None:
         self.pending, self.tails, self.sent = pending, tails, sent
-        self.next: dict[int, tuple] = {}
         self.rest = tails[-1][sent:]
 
 
@@ -48,9 +51,12 @@ class Transducer:
         self.tokens = {i: t for t, i in ranks.items()}
         self.prefixes = {t[:n] for t in ranks for n in range(1, len(t))}
         self.apart: dict[tuple, bool] = {}
+        self.arcs: dict[bytes, tuple] = {}
         self._reset()
 
     def _reset(self) -> None:
+        for state in getattr(self, "states", {}).values():
+            state.clear()  # states refer to one another
         self.start = State(b"", ((),), 0)
         self.states = {(b"", ((),), 0): self.start}
 
@@ -82,33 +88,82 @@ class Transducer:
             self.apart[key] = known
         return known
 
+    def _arc(self, text: bytes) -> tuple:
+        """Of pending bytes and one more: the tokens that may end here, which cuts stay live, and what stays pending.
+
+        A cut is live while what follows it is the beginning of a longer token; cuts are named by their place among the live ones.
+        """
+        ranks, prefixes = self.ranks, self.prefixes
+        n = len(text) - 1
+        live = [i for i in range(n) if text[i:n] in prefixes] + [n]
+        ends = [(k, ranks[text[i:]]) for k, i in enumerate(live) if text[i:] in ranks]
+        keep = [k for k, i in enumerate(live) if text[i:] in prefixes]
+        if len(self.arcs) >= MAX_PAIRS:
+            self.arcs.clear()
+        self.arcs[text] = found = (ends, keep, text[live[keep[0]] :] if keep else b"")
+        return found
+
     def _step(self, state: State, byte: int) -> tuple:
         text = state.pending + bytes((byte,))
-        for i in range(len(text)):
-            token = self.ranks.get(text[i:])
-            if token is not None:
-                before = state.tails[i]
-                if self.stay_apart(before[-1] if before else None, token):
-                    here = before + (token,)
-                    break
+        ends, keep, pending = self.arcs.get(text) or self._arc(text)
+        tails = state.tails
+        for k, token in ends:
+            before = tails[k]
+            left = before[-1] if before else None
+            apart = self.apart.get((left, token))
+            if apart or apart is None and self.stay_apart(left, token):
+                here = before + (token,)
+                break
         else:
             raise ValueError("the vocabulary lacks a single byte")
-        first = next((i for i in range(len(text)) if text[i:] in self.prefixes), len(text))
-        tails = state.tails[first:] + (here,)
-        shared = 0
-        for column in zip(*tails):
-            if len(set(column)) > 1:
-                break
-            shared += 1
-        out = tails[0][state.sent : shared]
-        drop = max(shared - 1, 0)
-        key = (text[first:], tuple(t[drop:] for t in tails), min(shared, 1))
+        if not keep:
+            out, key = here[state.sent :], (b"", (here[-1:],), 1)
+        else:
+            tails = [tails[k] for k in keep]
+            tails.append(here)
+            one, other, shared = min(tails), max(tails), 0
+            for a, b in zip(one, other):
+                if a != b:
+                    break
+                shared += 1
+            out = one[state.sent : shared]
+            if shared > 1:
+                tails = [t[shared - 1 :] for t in tails]
+            key = (pending, tuple(tails), 1 if shared else 0)
         after = self.states.get(key)
         if after is None:
             after = self.states[key] = State(*key)
-        step = state.next[byte] = (after, out)
+        step = state[byte] = (after, out)
         return step
 
+    def _run(self, state: State, rest: bytes) -> list[int]:
+        """The same without making states: each position's last token, from the live cuts; then the way back."""
+        pending, arcs, apart = state.pending, self.arcs, self.apart
+        n = len(pending)
+        cuts = [i for i in range(n) if pending[i:] in self.prefixes] + [n]
+        last = {i: tail[-1] if tail else None for i, tail in zip(cuts, state.tails)}
+        begin, before, at = dict(zip(cuts, state.tails)), {}, n
+        for byte in rest:
+            text = pending + BYTES[byte]
+            ends, keep, pending = arcs.get(text) or self._arc(text)
+            at += 1
+            for k, token in ends:
+                cut = cuts[k]
+                left = last[cut]
+                fits = apart.get((left, token))
+                if fits or fits is None and self.stay_apart(left, token):
+                    last[at], before[at] = token, cut
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a single byte")
+            cuts = [cuts[k] for k in keep]
+            cuts.append(at)
+        way = []
+        while at in before:
+            way.append(last[at])
+            at = before[at]
+        return [*begin[at][state.sent :], *way[::-1]]
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -116,12 +171,15 @@ class Transducer:
         if len(self.states) > MAX_STATES:
             self._reset()
         state, out = self.start, []
-        for byte in piece:
-            step = state.next.get(byte)
-            if step is None:
+        for i, byte in enumerate(piece):
+            step = state.get(byte, 0)
+            if not step:
+                if step == 0 and len(piece) <= 256:  # met for the first time: worth a state only if met again
+                    state[byte] = None
+                    return out + self._run(state, piece[i:])
                 step = self._step(state, byte)
-                if len(self.states) > 4 * MAX_STATES:  # one endless piece: forget the others, go on from here
-                    self.states.clear()
+                if len(self.states) > 2 * MAX_STATES:  # one endless piece: forget the others, go on from here
+                    self._reset()
             state, sent = step
             if sent:
                 out += sent
@@ -204,7 +262,9 @@ class Utf8Stream:
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One in each worker."""
+    """One in each worker. Its tables are long-lived and would be searched for cycles again and again."""
+    gc.freeze()
+    gc.set_threshold(1_000_000, 50, 1000)
     return Codec(path, pattern)
 
 
