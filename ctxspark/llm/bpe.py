@@ -4,7 +4,8 @@ The encoding of a prefix ends in the one token t for which the encoding of the r
 from t when both are merged together. A state of the transducer is what can still matter: the pending bytes (the longest
 suffix that a longer token could start with) and, for every live cut within them, the tokens that the encoding up to the cut
 doesn't share with the others. On a byte, the tokens that all remaining cuts share are emitted, so the lookahead is bounded
-by the longest token. Transitions and states are made when they are met again, and kept up to a bound; what is met once is run without.
+by the longest token. Transitions and states are made when they were met often enough, and kept up to a bound; rare
+pieces are run without, from the tokens that may end at each byte.
 
 Defined results: null text counts as empty, an empty text has no tokens; white space and unknown bytes are text like any
 other; repeated rows come out as often as they came in; an empty table gives an empty result.
@@ -25,7 +26,9 @@ from ctxspark.llm import common
 MAX_STATES = 200_000
 MAX_PAIRS = 1_000_000
 MAX_PIECES = 800_000
-BYTES = [bytes((b,)) for b in range(256)]
+#: Times that a transition must be met before it is made; until then pieces are run without.
+MET = 16
+NONE = 1 << 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,91 +36,102 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class State(dict):
-    """Transitions by byte: the next state and the tokens emitted; None for one that was met once so far."""
-
-    __slots__ = ("pending", "tails", "sent", "rest")
-
-    def __init__(self, pending: bytes, tails: tuple, sent: int) -> None:
-        self.pending, self.tails, self.sent = pending, tails, sent
-        self.rest = tails[-1][sent:]
+#: Key of what a state or node is, beside its transitions by byte; how often one not made yet was met is kept 256 higher.
+OWN = -1
 
 
 class Transducer:
-    """Encodes one pre-token, byte by byte."""
+    """Encodes one pre-token, byte by byte.
+
+    A node stands for pending bytes: byte -> (tokens that may end there, cuts that stay live, next node), its bytes and live cuts
+    under OWN. A state is byte -> (next state, tokens emitted), and under OWN its node, the cuts' tails and how many of their first
+    tokens are sent. Both are plain dictionaries, which Python reads fastest.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
+        self.lengths = {i: len(t) for t, i in ranks.items()}
         self.prefixes = {t[:n] for t in ranks for n in range(1, len(t))}
-        self.apart: dict[tuple, bool] = {}
-        self.arcs: dict[bytes, tuple] = {}
+        self.apart: dict[int, bool] = {}
+        self.nodes: dict[bytes, dict] = {}
+        self.root = self._node(b"")
+        self.states: dict[tuple, dict] = {}
         self._reset()
 
     def _reset(self) -> None:
-        for state in getattr(self, "states", {}).values():
+        for state in self.states.values():
             state.clear()  # states refer to one another
-        self.start = State(b"", ((),), 0)
-        self.states = {(b"", ((),), 0): self.start}
+        self.states = {}
+        self.start = self._state(self.root, ((),), 0)
+
+    def _node(self, pending: bytes) -> dict:
+        node = self.nodes.get(pending)
+        if node is None:
+            live = [i for i in range(len(pending)) if pending[i:] in self.prefixes] + [len(pending)]
+            node = self.nodes[pending] = {OWN: (pending, live)}
+        return node
+
+    def _arc(self, node: dict, byte: int) -> tuple:
+        """A cut is live while what follows it is the beginning of a longer token; cuts are named by their place among the live ones."""
+        pending, live = node[OWN]
+        text = pending + bytes((byte,))
+        ends = [(k, self.ranks[text[i:]]) for k, i in enumerate(live) if text[i:] in self.ranks]
+        keep = [k for k, i in enumerate(live) if text[i:] in self.prefixes]
+        if not ends:
+            raise ValueError("the vocabulary lacks a single byte")
+        sizes = [(len(text) - live[k], token) for k, token in ends]
+        found = node[byte] = (ends, keep, self._node(text[live[keep[0]] :] if keep else b""), sizes)
+        return found
+
+    def _state(self, node: dict, tails: tuple, sent: int) -> dict:
+        key = (node[OWN][0], tails, sent)
+        state = self.states.get(key)
+        if state is None:
+            state = self.states[key] = {OWN: (node, tails, sent)}
+        return state
 
     def merged(self, piece: bytes) -> list[int]:
         """The merges as they are defined: always the lowest rank, leftmost; for pairs of tokens, hence short."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        get = self.ranks.get
+        pairs = [get(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == NONE:
                 break
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
-
-    def stay_apart(self, left: int | None, right: int) -> bool:
-        key = (left, right)
-        known = self.apart.get(key)
-        if known is None:
-            if len(self.apart) >= MAX_PAIRS:
-                self.apart.clear()
-            if left is None:
-                known = self.merged(self.tokens[right]) == [right]
-            else:
-                known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-            self.apart[key] = known
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = get(parts[at] + parts[at + 1], NONE)
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + parts[at], NONE)
+        return [self.ranks[p] for p in parts]
+
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Whether two neighbouring tokens are what their bytes are merged to; left -1: none."""
+        if len(self.apart) >= MAX_PAIRS:
+            self.apart.clear()
+        if left < 0:
+            known = self.merged(self.tokens[right]) == [right]
+        else:
+            known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+        self.apart[(left << 20) | right] = known
         return known
 
-    def _arc(self, text: bytes) -> tuple:
-        """Of pending bytes and one more: the tokens that may end here, which cuts stay live, and what stays pending.
-
-        A cut is live while what follows it is the beginning of a longer token; cuts are named by their place among the live ones.
-        """
-        ranks, prefixes = self.ranks, self.prefixes
-        n = len(text) - 1
-        live = [i for i in range(n) if text[i:n] in prefixes] + [n]
-        ends = [(k, ranks[text[i:]]) for k, i in enumerate(live) if text[i:] in ranks]
-        keep = [k for k, i in enumerate(live) if text[i:] in prefixes]
-        if len(self.arcs) >= MAX_PAIRS:
-            self.arcs.clear()
-        self.arcs[text] = found = (ends, keep, text[live[keep[0]] :] if keep else b"")
-        return found
-
-    def _step(self, state: State, byte: int) -> tuple:
-        text = state.pending + bytes((byte,))
-        ends, keep, pending = self.arcs.get(text) or self._arc(text)
-        tails = state.tails
+    def _step(self, state: dict, byte: int) -> tuple:
+        node, tails, sent = state[OWN]
+        ends, keep, after, _ = node.get(byte) or self._arc(node, byte)
         for k, token in ends:
             before = tails[k]
-            left = before[-1] if before else None
-            apart = self.apart.get((left, token))
+            left = before[-1] if before else -1
+            apart = self.apart.get((left << 20) | token)
             if apart or apart is None and self.stay_apart(left, token):
                 here = before + (token,)
                 break
-        else:
-            raise ValueError("the vocabulary lacks a single byte")
         if not keep:
-            out, key = here[state.sent :], (b"", (here[-1:],), 1)
+            out, new = here[sent:], self._state(after, (here[-1:],), 1)
         else:
             tails = [tails[k] for k in keep]
             tails.append(here)
@@ -126,65 +140,69 @@ class Transducer:
                 if a != b:
                     break
                 shared += 1
-            out = one[state.sent : shared]
+            out = one[sent:shared]
             if shared > 1:
                 tails = [t[shared - 1 :] for t in tails]
-            key = (pending, tuple(tails), 1 if shared else 0)
-        after = self.states.get(key)
-        if after is None:
-            after = self.states[key] = State(*key)
-        step = state[byte] = (after, out)
+            new = self._state(after, tuple(tails), 1 if shared else 0)
+        step = state[byte] = (new, out)
         return step
 
-    def _run(self, state: State, rest: bytes) -> list[int]:
-        """The same without making states: each position's last token, from the live cuts; then the way back."""
-        pending, arcs, apart = state.pending, self.arcs, self.apart
-        n = len(pending)
-        cuts = [i for i in range(n) if pending[i:] in self.prefixes] + [n]
-        last = {i: tail[-1] if tail else None for i, tail in zip(cuts, state.tails)}
-        begin, before, at = dict(zip(cuts, state.tails)), {}, n
-        for byte in rest:
-            text = pending + BYTES[byte]
-            ends, keep, pending = arcs.get(text) or self._arc(text)
-            at += 1
-            for k, token in ends:
-                cut = cuts[k]
-                left = last[cut]
-                fits = apart.get((left, token))
-                if fits or fits is None and self.stay_apart(left, token):
-                    last[at], before[at] = token, cut
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a single byte")
-            cuts = [cuts[k] for k in keep]
-            cuts.append(at)
-        way = []
-        while at in before:
-            way.append(last[at])
-            at = before[at]
-        return [*begin[at][state.sent :], *way[::-1]]
+    def _last(self, ends: list, known: dict[int, int], at: int) -> int:
+        """The token that the encoding of the first `at` bytes ends with."""
+        apart = self.apart
+        for size, token in ends[at]:
+            before = at - size
+            left = known[before] if before in known else self._last(ends, known, before)
+            pair = (left << 20) | token
+            if apart[pair] if pair in apart else self.stay_apart(left, token):
+                known[at] = token
+                return token
+        raise ValueError("no token fits")
+
+    def _run(self, piece: bytes) -> list[int]:
+        """The same without making states: which tokens may end at each byte, then from the end back, the one that fits the rest."""
+        node, ends = self.root, [()]
+        for byte in piece:
+            try:
+                arc = node[byte]
+            except KeyError:
+                arc = self._arc(node, byte)
+            ends.append(arc[3])
+            node = arc[2]
+        known, at, way = {0: -1}, len(piece), []
+        while at:
+            token = known[at] if at in known else self._last(ends, known, at)
+            way.append(token)
+            at -= self.lengths[token]
+        way.reverse()
+        return way
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > MAX_STATES:
-            self._reset()
-        state, out = self.start, []
-        for i, byte in enumerate(piece):
-            step = state.get(byte, 0)
-            if not step:
-                if step == 0 and len(piece) <= 256:  # met for the first time: worth a state only if met again
-                    state[byte] = None
-                    return out + self._run(state, piece[i:])
-                step = self._step(state, byte)
-                if len(self.states) > 2 * MAX_STATES:  # one endless piece: forget the others, go on from here
+        state, out, i, n = self.start, [], 0, len(piece)
+        while True:
+            try:
+                while i < n:
+                    state, sent = state[piece[i]]
+                    i += 1
+                    if sent:
+                        out += sent
+                _, tails, done = state[OWN]
+                out += tails[-1][done:]
+                return out
+            except KeyError:
+                byte = piece[i]
+                met = state.get(byte + 256, 0)
+                if n <= 256 and met < MET:  # worth a state only if met again and again
+                    state[byte + 256] = met + 1
+                    return self._run(piece)
+                if len(self.states) > MAX_STATES:
+                    keep = state[OWN]
                     self._reset()
-            state, sent = step
-            if sent:
-                out += sent
-        out += state.rest
-        return out
+                    state = self._state(*keep)  # one endless piece may fill the tables: go on from here
+                self._step(state, byte)
 
 
 class Pieces(dict):
