@@ -64,8 +64,11 @@ def name_parts(name: str | Column) -> Column:
 def name_matches(name: str | Column, query_tokens: list[str]) -> Column:
     """How many query tokens (repeats count) some part of the name contains."""
     parts = name_parts(name)
-    found = [F.exists(parts, lambda p, t=t: p.contains(t)).cast("int") for t in query_tokens]
-    return sum(found, F.lit(0))
+
+    def some(token: str) -> Column:
+        return F.exists(parts, lambda p: p.contains(token)).cast("int")
+
+    return sum(map(some, query_tokens), F.lit(0))
 
 
 def estimate_tokens(text: str | Column) -> Column:

@@ -221,10 +221,10 @@ def suffix_join_recency(spark, d):
 LOG = ["1700000300 abc123", "", "src/a.ts", "src/b.ts", "1700000200 def456", "src/a.ts", "  ", "1700000100 0a0b0c", "src/c.ts"]
 
 
-@query("""SELECT * FROM (VALUES (1, 1700000300, 'src/a.ts'), (1, 1700000300, 'src/b.ts'), (2, 1700000200, 'src/a.ts'), (3, 1700000100, 'src/c.ts')) t(commit_ord, at, path)""")
+@query("""SELECT * FROM (VALUES (1, 1700000300, 'src/a.ts'), (1, 1700000300, 'src/b.ts'), (2, 1700000200, 'src/a.ts'), (3, 1700000100, 'src/c.ts')) t(commit_ord, committed, path)""")
 def log_carry_forward(spark, d):
     parsed = recency.parse_log(_values(spark, list(enumerate(LOG)), "line_no int, line string"))
-    return parsed.select(F.col("commit_ord").cast("int").alias("commit_ord"), F.unix_seconds("ts").cast("int").alias("at"), "path")
+    return parsed.select(F.col("commit_ord").cast("int").alias("commit_ord"), F.unix_seconds("ts").cast("int").alias("committed"), "path")
 
 
 # --- hybrid -----------------------------------------------------------------------------------------------
@@ -491,7 +491,7 @@ def incremental_status(spark, d):
 def upsert_last_wins(spark, d):
     old, new = ad.snapshots(spark, d)
     twice = old.withColumn("at", F.lit(0)).union(new.withColumn("mtime", F.col("mtime") - 1).withColumn("at", F.lit(1))).union(new.withColumn("at", F.lit(2)))
-    return store.upsert(old, store.last_per_key(twice, "path", "at"), "path").select("path", "mtime")
+    return store.upsert(old, store.last_per_key(twice, "path", "at").drop("at"), "path").select("path", "mtime")
 
 
 @query(f"""WITH {sql.CHUNKS}, gone AS (SELECT ord FROM chunks WHERE file = '{FILE}')
