@@ -1,9 +1,9 @@
 """Embedding of texts by a pluggable model; the default is a hashing stand-in, not a language model."""
 
-from __future__ import annotations
-
 from collections.abc import Callable, Iterator
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +33,6 @@ def hashing_model() -> Callable[[list[str]], list[list[float]]]:
 
 def embedder(model: Callable[[], Callable[[list[str]], list[list[float]]]] = hashing_model, batch: int = BATCH):
     """A Column function. `model` is called once in each task; what it returns gets lists of at most `batch` texts."""
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = model()

@@ -55,7 +55,7 @@ def important_files(ranks: DataFrame, chunks: DataFrame, n: int = 10) -> DataFra
     """The best ranked files with their chunk counts."""
     best = ranks.orderBy(F.desc("rank"), "file").limit(n)
     counts = chunks.groupBy(F.col("file").alias("f")).agg(F.count("*").alias("n"))
-    return best.join(counts, F.col("file") == F.col("f"), "left").select("file", "rank", F.coalesce("n", F.lit(0)).cast("long").alias("chunks"))
+    return best.join(counts, F.col("file") == F.col("f"), "left").select("file", "rank", F.coalesce("n", F.lit(0)).cast("long").alias("chunks")).orderBy(F.desc("rank"), "file")
 
 
 def instructions(chunks: DataFrame, files: int = 30, names: int = 8) -> DataFrame:
