@@ -42,33 +42,31 @@ def texts(array) -> list[bytes]:
     return [x if x is not None else b"" for x in array.cast(kind).to_pylist()]
 
 
-def fresh_key(column: Column) -> Column:
-    """The same string or binary, but in a form whose partitioning Spark doesn't know.
-
-    A join on it deals out both sides anew, so that adaptive execution may split a hot key.
-    """
-    return F.concat(column, F.lit(""))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise into the shared checkpoint folder; lost executors then cost nothing but their tasks."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, ...) with the least (m) around u. The key is renewed, so that a hub with very many edges may be split."""
+    key = F.col("u").bitwiseXOR(F.lit(1))
+    right = least.select(key.alias("w"), "m")
+    return edges.join(right, key == F.col("w"))
+
+
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
     """One large-star or small-star step: edges (u, v), each once with u > v."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if small:
-        around, least = edges, edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
         # u's smaller neighbours, and u itself, hang from the least of them
-        moved = around.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        own = least.select(F.col("u").alias("a"), F.col("m").alias("b"))
-        pairs = moved.union(own)
+        moved = _with_least(edges, least).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        pairs = moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     else:
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
         # u's larger neighbours hang from the least around u
-        pairs = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        pairs = _with_least(both.where("v > u"), least).select(F.col("v").alias("a"), F.col("m").alias("b"))
     return (
         pairs.where("a != b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))

@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_temperature_mixing": mixing.OP3_SQL, "op5_host_rules": quality_rules.OP5_SQL}
+    return {
+        "op2_substring_cms": substring.OP2_SQL,
+        "op3_temperature_mixing": mixing.OP3_SQL,
+        "op5_host_rules": quality_rules.OP5_SQL,
+        "op7_rotated_codes": embedding_dedup.OP7_SQL,
+    }

@@ -147,7 +147,8 @@ def _bitmap(rows: DataFrame, keys_of, keys: float, threshold: int) -> Bitmap:
 
     log = log_cells(keys)
     parts = rows.mapInArrow(_cell_writer(log, keys_of), "block int, cells binary")
-    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_merger(threshold), "block int, bits binary")
+    # merged by all tasks at once, then fetched partition by partition
+    merged = common.cut(parts.repartition("block").sortWithinPartitions("block").mapInArrow(_merger(threshold), "block int, bits binary"))
     bits = [np.zeros(1 << (log - 3), np.uint8) for _ in SKETCH_ROWS]
     blocks = 1 << (log - 16)
     for found in merged.toLocalIterator():
@@ -231,7 +232,7 @@ class Runs:
         return run, np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + self.start[run]
 
 
-def _groups(batch, most: int = 4 << 20):
+def _groups(batch, most: int = 2 << 20):
     """The batch's texts, a few MB at a time (a longer text alone)."""
     held, size = [], 0
     for x in common.texts(batch.column(0)):
@@ -425,3 +426,19 @@ def with_removed(docs: DataFrame, out: str = "cut", text: str = "text") -> DataF
 def op2_substring_cms(spark, sf_dir: str) -> DataFrame:
     found = with_removed(common.table(spark, sf_dir, "documents").select("doc_id", "text"), "cut")
     return found.select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
+
+
+OP2_SQL = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS words FROM documents),
+win AS (
+  SELECT rid, i, md5(array_to_string(words[i:i + {WINDOW - 1}], ' ')) AS h
+  FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT rid, i + j AS p FROM rep, (SELECT unnest(range({WINDOW})) AS j)),
+each AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS text FROM each ANTI JOIN gone USING (rid, p) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)
+"""
