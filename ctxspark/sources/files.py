@@ -60,7 +60,7 @@ def wanted(path: str, include: list[str] | None = None, ignore: list[str] | None
 
 
 def scan(spark: SparkSession, root: str, include: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
-    """(path, mtime, code) of the wanted files under root; only paths are listed before the filter."""
+    """(path, mtime, code) of the wanted files under root; only paths are listed before the filter. Empty files are left out."""
     root = root.rstrip("/")
     ignored = os.path.join(root, ".gitignore")
     rules = ""

@@ -100,7 +100,44 @@ def test_sinks(spark):
 
 def test_empty_sources_index_nothing(spark, tmp_path):
     (tmp_path / "src").mkdir()
-    (tmp_path / "src/a.ts").write_text("")
+    (tmp_path / "src/a.ts").write_text("// nothing declared\n")
     index = Index(spark, str(tmp_path))
     assert status(index.build()) == {"a.ts": "added"}
     assert index.stats().select(F.col("chunks")).first()[0] == 0
+
+
+def test_git_sources(spark, root):
+    """Commits newest first, and sources that differ from a branch."""
+    import subprocess
+
+    from ctxspark.sources import git
+
+
+    def run(*args):
+        subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", *args], cwd=root, check=True, capture_output=True)
+
+    run("init", "-q", "-b", "main")
+    run("add", "src/db.ts")
+    run("commit", "-q", "-m", "one")
+    run("checkout", "-q", "-b", "side")
+    run("add", ".")
+    run("commit", "-q", "-m", "two")
+    rows = [(r["commit_ord"], r["path"]) for r in git.log(spark, str(root)).orderBy("commit_ord", "path").collect()]
+    assert rows == [(1, "src/login.ts"), (1, "src/logout.js"), (2, "src/db.ts")]
+    assert {r["path"] for r in git.changed(spark, str(root)).collect()} == {"src/login.ts", "src/logout.js"}
+    (root / "src/db.ts").write_text("changed")
+    assert [r["path"] for r in git.changed(spark, str(root), "no-such-branch").collect()] == ["src/db.ts"]
+    index = Index(spark, str(root))
+    index.build()
+    assert index.search("login user").first()["name"] == "loginUser"
+
+
+def test_names_and_cases(spark):
+    from ctxspark.functions import paths
+    from ctxspark.functions import text as tx
+
+    row = spark.range(1).select(
+        tx.capitalised(F.lit("data access")).alias("c"), tx.first_filled(F.lit(""), F.lit("b")).alias("f"), tx.short_path(F.lit("a\\b\\c.ts")).alias("s"),
+        paths.resolved(F.lit("/a/b"), F.lit("../c/./d.ts")).alias("r"), tx.quarter_tokens(F.lit("abcde")).alias("q"),
+    ).first()
+    assert tuple(row) == ("Data access", "b", "b/c.ts", "/a/c/d.ts", 12)
