@@ -20,12 +20,13 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from ctxspark.llm import common
 
-MAX_STATES = 200_000
-MAX_PAIRS = 1_000_000
-MAX_PIECES = 800_000
+MAX_STATES = 30_000
+MAX_PAIRS = 300_000
+MAX_PIECES = 300_000
 #: Times that a transition must be met before it is made; until then pieces are run without.
 MET = 16
 NONE = 1 << 40
@@ -287,14 +288,18 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def _encoder(path: str, pattern: str):
-    @F.arrow_udf(T.BinaryType())
-    def encode(text):
+    def encode(batches):
         import pyarrow as pa
 
         own = codec(path, pattern)
-        return pa.array([own.encode(x) for x in common.texts(text)], pa.binary())
+        try:
+            for text in batches:
+                yield pa.array([own.encode(x) for x in common.texts(text)], pa.binary())
+        finally:
+            own.pieces.clear()  # workers outlive their tasks
 
-    return encode
+    # else the optimiser may put the call in place of its result, and run it once more for each use
+    return F.arrow_udf(encode, T.BinaryType(), ArrowUDFType.SCALAR_ITER).asNondeterministic()
 
 
 def _decoder(path: str, pattern: str):
@@ -308,6 +313,24 @@ def _decoder(path: str, pattern: str):
     return decode
 
 
+CODED = common.struct("ids binary, decoded string")
+
+
+def _round_tripper(path: str, pattern: str):
+    def code(batches):
+        import pyarrow as pa
+
+        own = codec(path, pattern)
+        try:
+            for text in batches:
+                ids = [own.encode(x) for x in common.texts(text)]
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.string())], names=CODED.names)
+        finally:
+            own.pieces.clear()  # workers outlive their tasks
+
+    return F.arrow_udf(code, CODED, ArrowUDFType.SCALAR_ITER)
+
+
 def with_ids(docs: DataFrame, path: str, pattern: str, out: str = "ids", text: str = "text") -> DataFrame:
     """docs with the text's token ids, packed as little-endian unsigned 32-bit integers."""
     common.bounded_batches(docs.sparkSession)
@@ -326,14 +349,19 @@ def vocabulary() -> tuple[str, str]:
     return common.tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def with_round_trip(docs: DataFrame, path: str, pattern: str, out: str = "coded", text: str = "text") -> DataFrame:
+    """docs with a struct: ids (packed) and decoded (the text they stand for), both from one worker's tables."""
+    common.bounded_batches(docs.sparkSession)
+    return docs.withColumn(out, _round_tripper(path, pattern)(F.col(text).cast("string")))
+
+
 def round_trip(docs: DataFrame) -> DataFrame:
-    own = vocabulary()
-    coded = with_text(with_ids(docs.select("doc_id", "text"), *own), *own)
+    coded = with_round_trip(docs.select("doc_id", "text"), *vocabulary())
     return coded.select(
         "doc_id",
-        F.expr("octet_length(ids) div 4").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.expr("octet_length(coded.ids) div 4").alias("n_tokens"),
+        F.sha2("coded.ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("coded.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
