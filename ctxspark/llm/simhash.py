@@ -51,7 +51,6 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(bits.view("<u8")[0])
 
 
-@F.arrow_udf(T.LongType())
 def _fingerprints(text):
     import numpy as np
     import pyarrow as pa
@@ -60,6 +59,10 @@ def _fingerprints(text):
     return pa.array(np.array(found, np.uint64).view(np.int64))
 
 
+# else a join's filter for nulls would be pushed below the call and run it once more
+_fingerprints = F.arrow_udf(_fingerprints, T.LongType()).asNondeterministic()
+
+
 def with_fingerprint(docs: DataFrame, out: str = "fp", text: str = "text") -> DataFrame:
     """docs and its fingerprints as signed longs."""
     common.bounded_batches(docs.sparkSession)
