@@ -212,6 +212,7 @@ def test_bpe_transducer_on_random_bytes(monkeypatch):
     for met, most in ((0, 10**6), (10**9, 10**6), (0, 3)):
         monkeypatch.setattr(bpe, "MET", met)
         monkeypatch.setattr(bpe, "MAX_STATES", most)
+        monkeypatch.setattr(bpe, "SHORT", 0 if met < 9 else 24)
         for _ in range(2000):
             piece = bytes(r.choice(list(b"abcd"), r.integers(1, 30)).tolist())
             assert own.encode(piece) == own.merged(piece), piece
@@ -464,3 +465,10 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, 500 + i) for i in range(1, 60)] + [(7, 7), (900, 901), (901, 900)]
     found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {**{i: 0 for i in range(101)}, **{500 + i: 500 for i in range(60)}, 900: 900, 901: 900}
+
+
+def test_bpe_columns_for_ids_and_text(spark, small):
+    docs = spark.createDataFrame([(1, "héllo wörld", 7), (2, None, 8)], "doc_id long, text string, ids_ int")
+    coded = bpe.with_text(bpe.with_ids(docs, *bpe.vocabulary()), *bpe.vocabulary())
+    assert coded.columns == ["doc_id", "text", "ids_", "ids", "decoded"]
+    assert {r["doc_id"]: r["decoded"] for r in coded.collect()} == {1: "héllo wörld", 2: ""}
