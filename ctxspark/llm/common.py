@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ctxspark.session import ensure_checkpoint_dir
 
 #: Bytes that one Arrow batch may hold, so that very long texts cannot fill a worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -24,6 +24,30 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 
+def release() -> None:
+    """Give freed memory back to the system. Workers wait for their next task, and what they hold counts against their node."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(function):
+    """A function over batches that gives memory back when its task ends."""
+
+    def tidied(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -61,6 +61,7 @@ def _counts(text):
     import pyarrow as pa
 
     columns = list(zip(*map(counts, common.texts(text)))) or [[]] * len(COUNTS)
+    common.release()
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=COUNTS.names)
 
 

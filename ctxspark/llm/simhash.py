@@ -56,6 +56,7 @@ def _fingerprints(text):
     import pyarrow as pa
 
     found = [fingerprint(x) for x in common.texts(text)]
+    common.release()
     return pa.array(np.array(found, np.uint64).view(np.int64))
 
 
@@ -189,7 +190,7 @@ def links(fingerprints: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS
     )
     dealt = keyed.repartition("block", "bits", "part", "sub").sortWithinPartitions("block", "bits", "part", "sub")
     shards = dealt.select("fp", "block", F.concat_ws(":", "bits", "part", "sub").alias("bits"))
-    return shards.mapInArrow(_linker(radius, shard_rows), "u long, v long")
+    return shards.mapInArrow(common.tidy(_linker(radius, shard_rows)), "u long, v long")
 
 
 def classes(prints: DataFrame, radius: int = 4) -> DataFrame:

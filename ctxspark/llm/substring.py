@@ -38,6 +38,8 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 SKETCH_ROWS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 #: 2^29 cells in each of two rows: 128 MB as bits, the bound of what is broadcast.
 MAX_LOG_CELLS = 29
+#: Jobs in which the driver fetches the merged sketch.
+FETCHES = 16
 POSITION_BITS = 28
 M64 = 2**64 - 1
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -59,9 +61,9 @@ class Bitmap:
         return found
 
 
-def log_cells(keys: float) -> int:
-    """Eight cells a key, within the bound."""
-    return max(16, min(MAX_LOG_CELLS, int(8 * keys + 1).bit_length()))
+def log_cells(keys: float, threshold: int = 1) -> int:
+    """Eight to sixteen cells a key where one key is enough, half of it where two must meet, within the bound."""
+    return max(16, min(MAX_LOG_CELLS, int(8 * keys / threshold + 1).bit_length()))
 
 
 def _emit_cells(keys, log: int):
@@ -145,13 +147,13 @@ def _bitmap(rows: DataFrame, keys_of, keys: float, threshold: int) -> Bitmap:
     """Sketch the partitions, merge block by block, and bring the bits (of bounded size) to the driver."""
     import numpy as np
 
-    log = log_cells(keys)
-    parts = rows.mapInArrow(_cell_writer(log, keys_of), "block int, cells binary")
+    log = log_cells(keys, threshold)
+    parts = rows.mapInArrow(common.tidy(_cell_writer(log, keys_of)), "block int, cells binary")
     # merged by all tasks at once, then fetched partition by partition
-    merged = common.cut(parts.repartition("block").sortWithinPartitions("block").mapInArrow(_merger(threshold), "block int, bits binary"))
+    merged = common.cut(parts.repartition("block").sortWithinPartitions("block").mapInArrow(common.tidy(_merger(threshold)), "block int, bits binary"))
     bits = [np.zeros(1 << (log - 3), np.uint8) for _ in SKETCH_ROWS]
     blocks = 1 << (log - 16)
-    for found in merged.toLocalIterator():
+    for found in merged.coalesce(FETCHES).toLocalIterator():
         row, block = divmod(found["block"], blocks)
         bits[row][block << 13 : (block + 1) << 13] = np.frombuffer(bytes(found["bits"]), np.uint8)
     return Bitmap(log, bits)
@@ -350,7 +352,7 @@ def repeated_places(docs: DataFrame, text: str = "text") -> DataFrame:
     size = corpus.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0.0
     maybe = sc.broadcast(_bitmap(corpus, _anchors, size / 50, 2))
 
-    spans = corpus.mapInArrow(_span_scan(maybe), "g long, a long, b long").groupBy("g", "a", "b").agg(F.count("*").alias("n"))
+    spans = corpus.mapInArrow(common.tidy(_span_scan(maybe)), "g long, a long, b long").groupBy("g", "a", "b").agg(F.count("*").alias("n"))
     spans = common.cut(spans)
     shared = spans.groupBy("g").agg(F.count("*").alias("spans")).where("spans > 1")
     known = common.cut(
@@ -363,12 +365,12 @@ def repeated_places(docs: DataFrame, text: str = "text") -> DataFrame:
     ).first()
     of_shared = sc.broadcast(_bitmap(known.where("shared").select("a"), _key_column, sizes["shared"], 1))
     windows = common.cut(
-        corpus.mapInArrow(_window_scan(maybe, of_shared), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+        corpus.mapInArrow(common.tidy(_window_scan(maybe, of_shared)), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     )
     repeated = known.where("many").select("a", "b").union(windows)
     single = sc.broadcast(_bitmap(known.where("shared and not many").select("a"), _key_column, sizes["single"], 1))
     of_repeated = sc.broadcast(_bitmap(repeated.select("a"), _key_column, sizes["many"] + windows.count(), 1))
-    places = corpus.mapInArrow(_place_scan(maybe, single, of_repeated), "a long, b long, t binary, place long")
+    places = corpus.mapInArrow(common.tidy(_place_scan(maybe, single, of_repeated)), "a long, b long, t binary, place long")
     exact = repeated.distinct().select(F.col("a").bitwiseXOR(F.lit(1)).alias("x"), F.col("b").alias("y"))
     return (
         places.join(exact, (F.col("a").bitwiseXOR(F.lit(1)) == F.col("x")) & (F.col("b") == F.col("y")), "left_semi")
@@ -406,6 +408,7 @@ def _cut_words(text, places):
             n_removed.append(0)
             kept.append(x)
         digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+    common.release()
     return pa.StructArray.from_arrays(
         [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digests, pa.string())],
         names=["n_words", "n_removed", "kept", "kept_sha256"],

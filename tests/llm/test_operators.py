@@ -139,7 +139,7 @@ def test_substring_dedup_of_periodic_and_shared_texts(spark, save):
 
 
 def test_a_crowded_sketch_loses_nothing(spark, small, monkeypatch):
-    monkeypatch.setattr(substring, "log_cells", lambda keys: 16)
+    monkeypatch.setattr(substring, "log_cells", lambda keys, threshold: 16)
     assert cut_rows(QUERIES["op2_substring_cms"](spark, SF).collect()) == sorted(cut_by_force(small), key=str)
 
 
