@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import gc
 from functools import lru_cache
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,10 @@ MAX_PAIRS = 300_000
 MAX_PIECES = 300_000
 #: Times that a transition must be met before it is made; until then pieces are run without.
 MET = 16
+#: Pre-tokens up to this length are run without states; those beyond LONG always with.
+SHORT, LONG = 24, 256
+#: Pieces that a worker keeps from one task to the next: those met first, which are the common ones.
+KEPT_PIECES = 120_000
 NONE = 1 << 40
 
 
@@ -182,7 +187,10 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        state, out, i, n = self.start, [], 0, len(piece)
+        n = len(piece)
+        if n <= SHORT:
+            return self._run(piece)
+        state, out, i = self.start, [], 0
         while True:
             try:
                 while i < n:
@@ -196,7 +204,7 @@ class Transducer:
             except KeyError:
                 byte = piece[i]
                 met = state.get(byte + 256, 0)
-                if n <= 256 and met < MET:  # worth a state only if met again and again
+                if n <= LONG and met < MET:  # worth a state only if met again and again
                     state[byte + 256] = met + 1
                     return self._run(piece)
                 if len(self.states) > MAX_STATES:
@@ -212,6 +220,13 @@ class Pieces(dict):
     def __init__(self, transducer: Transducer) -> None:
         self.transducer = transducer
 
+    def trim(self) -> None:
+        """Give memory back at the end of a task; workers outlive their tasks."""
+        if len(self) > KEPT_PIECES:
+            kept = list(islice(self.items(), KEPT_PIECES))
+            self.clear()
+            self.update(kept)
+
     def __missing__(self, piece: str) -> bytes:
         import struct
 
@@ -296,7 +311,8 @@ def _encoder(path: str, pattern: str):
             for text in batches:
                 yield pa.array([own.encode(x) for x in common.texts(text)], pa.binary())
         finally:
-            own.pieces.clear()  # workers outlive their tasks
+            own.pieces.trim()
+            common.release()
 
     # else the optimiser may put the call in place of its result, and run it once more for each use
     return F.arrow_udf(encode, T.BinaryType(), ArrowUDFType.SCALAR_ITER).asNondeterministic()
@@ -326,7 +342,8 @@ def _round_tripper(path: str, pattern: str):
                 ids = [own.encode(x) for x in common.texts(text)]
                 yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.string())], names=CODED.names)
         finally:
-            own.pieces.clear()  # workers outlive their tasks
+            own.pieces.trim()
+            common.release()
 
     return F.arrow_udf(code, CODED, ArrowUDFType.SCALAR_ITER)
 
