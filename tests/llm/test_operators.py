@@ -404,6 +404,21 @@ def test_lm_filter_gives_counts_back(spark):
     assert (model.filter.levels(absent) > 0).mean() < 0.05
 
 
+@pytest.mark.parametrize("hard_rows, bits", [(False, 20), (True, 19)])
+def test_lm_beyond_the_broadcast_bound(spark, hard, monkeypatch, hard_rows, bits):
+    """A filter in shards takes all n-grams as well and gives the scores of a broadcast one."""
+    folder = hard if hard_rows else "/root/testdata/sf0.01"
+    rows = lambda: sorted((tuple(r) for r in QUERIES["op9_bloom_lm"](spark, folder).collect()), key=lambda r: (str(r[0]), r[2]))
+    expected = rows()
+    monkeypatch.setattr(bloom_lm, "MAX_LOG_BITS", bits)
+    monkeypatch.setattr(bloom_lm, "SHARD_LOG_BITS", 21, raising=False)
+    monkeypatch.setattr(bloom_lm, "GROUP_BYTES", 1 << 17, raising=False)
+    found = rows()
+    assert [f[:5] for f in found] == [e[:5] for e in expected]
+    for at in (5, 6):
+        assert [f[at] for f in found] == pytest.approx([e[at] for e in expected])
+
+
 def test_lm_levels_stand_for_counts():
     table = bloom_lm.level_counts()
     for c in (1, 2, 3, 5, 10, 100, 12345):
