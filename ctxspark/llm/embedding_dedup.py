@@ -2,8 +2,9 @@
 
 1. Equal vectors are merged; a merged vector carries how many it stands for.
 2. Candidates: up to `MAX_CELLS` vectors with the smallest hashes serve as pivots. A vector is at home in the cell of its nearest pivot
-   and visits all cells whose pivot is within `MARGIN` of that (no cap on their number), so linked vectors meet in a home of one
-   of them. Cells are dealt in blocks of bounded size, the homes' times the visitors'.
+   and visits all cells whose pivot is nearly as near (no cap on their number): by a cosine that is less by up to d * |p - q| / 2, with
+   d the distance of unit vectors at the threshold and p, q the two pivots. If two linked vectors x, y at home in p, q both failed
+   that, <x - y, p - q> would exceed d * |p - q|; so they always meet in a home of one of them. Cells are dealt in blocks of bounded size, the homes' times the visitors'.
 3. A vector x is rotated at random and kept as signs b with the factor f = <x, b>. In a cell, homes q are compared with visitors'
    codes: <q, b> / f is an unbiased estimate of <q, x>. Its upper bound is the lesser of a six-sigma one and of what the triangle
    inequality of angles allows, which nothing can exceed. Only visitors with a pair whose bound reaches the threshold go on.
@@ -28,7 +29,8 @@ from ctxspark.llm import common
 THRESHOLD = 0.95
 MAX_CELLS = 4096
 CELL_VECTORS = 256
-MARGIN = 0.17
+#: For rounding.
+SLACK = 1e-6
 SIGMAS = 6.0
 #: Homes and visitors of one block.
 BLOCK_HOMES, BLOCK_VISITORS = 512, 2048
@@ -86,20 +88,43 @@ def unit_of(x):
 ASSIGNED = "size int, cell int, home int, node long, n long, vec binary, code binary, factor float, cells array<int>"
 
 
-def _assigner(pivots):
+def margins(pivots, threshold: float):
+    """By how much less a cosine each cell may have than the home cell, one row for each home."""
+    import numpy as np
+
+    found = np.empty((len(pivots), len(pivots)), np.float32)
+    for at in range(0, len(pivots), 256):
+        apart = np.sqrt(np.maximum(2 - 2 * pivots[at : at + 256] @ pivots.T, 0))
+        found[at : at + 256] = np.sqrt(max(2 - 2 * threshold, 0)) * apart / 2 + SLACK
+    return found
+
+
+def visits(unit, pivots, margin):
+    """Each unit vector's home, and which cells it visits."""
+    import numpy as np
+
+    home, visited = np.empty(len(unit), np.int64), np.empty((len(unit), len(pivots)), bool)
+    for at in range(0, len(unit), 512):
+        near = unit[at : at + 512] @ pivots.T
+        best = home[at : at + 512] = near.argmax(axis=1)
+        visited[at : at + 512] = near + margin[best] >= near.max(axis=1, keepdims=True)
+    return home, visited
+
+
+def _assigner(pivots, threshold: float):
     def assign(batches):
         import numpy as np
         import pyarrow as pa
 
+        margin = {size: margins(p, threshold) for size, p in pivots.value.items()}
         for batch in batches:
             node, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "n"))
             for rows, x in _vectors(batch.column("v")):
                 size = x.shape[1]
                 unit = unit_of(x)
-                near = unit @ pivots.value[size].T
-                best = near.argmax(axis=1)
+                best, visited = visits(unit, pivots.value[size], margin[size])
                 codes, factors = encode(unit)
-                who, cell = np.nonzero(near >= near[np.arange(len(x)), best][:, None] - MARGIN)
+                who, cell = np.nonzero(visited)
                 home = best[who] == cell
                 lists = np.split(cell, np.cumsum(np.bincount(who, minlength=len(x)))[:-1])
                 yield pa.RecordBatch.from_arrays(
@@ -214,7 +239,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, vec_id: str =
     for row in nodes.groupBy(F.size("v").alias("size")).agg(F.first("v").alias("v")).collect():  # one for each length
         pivots.setdefault(row["size"], [row["v"]])
     shared = spark.sparkContext.broadcast({size: unit_of(np.array(x, dtype)) for size, x in pivots.items()})
-    assigned = nodes.select("node", "n", "v").mapInArrow(_assigner(shared), ASSIGNED)
+    assigned = nodes.select("node", "n", "v").mapInArrow(_assigner(shared, threshold), ASSIGNED)
     found = (
         _dealt(assigned)
         .groupBy("size", "cell", "i", "j")

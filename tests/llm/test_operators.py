@@ -318,6 +318,19 @@ def test_embedding_links(spark, save):
     assert missed or found == expected
 
 
+def test_linked_vectors_meet_in_a_home():
+    """Pivots at right angles, linked vectors on both sides of their middle: one of them visits the other's home."""
+    pivots = np.eye(4)[:2]
+    angles = np.radians(45 + np.array([-9.0, 9.0]))
+    pair = np.stack([np.cos(angles), np.sin(angles), 0 * angles, 0 * angles], axis=1)
+    assert pair[0] @ pair[1] >= 0.95
+    r = np.random.default_rng(9)
+    for own, x in ((pivots, pair), (embedding_dedup.unit_of(r.standard_normal((12, 4))), embedding_dedup.unit_of(r.standard_normal((1500, 4))))):
+        home, visited = embedding_dedup.visits(x, own, embedding_dedup.margins(own, 0.95))
+        a, b = np.nonzero(x @ x.T >= 0.95)
+        assert (visited[a, home[b]] | visited[b, home[a]]).all()
+
+
 def test_bounds_hold():
     r = np.random.default_rng(5)
     for size in (2, 3, 64, 100):
