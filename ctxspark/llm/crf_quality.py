@@ -199,13 +199,16 @@ def train(docs: DataFrame, labels: DataFrame, training, most: int = TRAIN_DOCUME
     # at most `most` rows
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("id"), "label"))
     sample = docs.join(chosen, F.col("doc_id") == F.col("id")).select("id", "label", _packed_features(F.col("text")).alias("f"))
-    # whole documents, as many as their lines fit the bound
+    # whole documents; one whose lines don't fit any more is passed over
     sizes = sample.select("id", "label", "f").withColumn("lines", F.octet_length("f") / (4 * N_OWN))
+    sizes = sizes.withColumn("f", F.when(F.col("lines") <= most_lines, F.col("f")))
     own, marks, lines = [], [], 0
     for row in sizes.orderBy(F.xxhash64("id"), "id").toLocalIterator():
-        lines += row["lines"]
-        if lines > most_lines or len(own) >= most:
+        if len(own) >= most or lines >= most_lines:
             break
+        if lines + row["lines"] > most_lines:
+            continue
+        lines += row["lines"]
         own.append(np.frombuffer(bytes(row["f"]), np.float32).reshape(-1, N_OWN))
         marks.append(row["label"])
     return fit(own, marks)

@@ -373,6 +373,17 @@ def test_crf_on_held_out_rows(spark):
     assert auc > 0.9, auc
 
 
+def test_crf_passes_over_what_does_not_fit(spark):
+    """A many-lined text at the first place of the order leaves the other training texts in the sample."""
+    first = spark.range(41).orderBy(F.xxhash64("id"), "id").first()["id"]
+    rows = [(i, "Good plain words here." if i % 2 else "### $$$ %%% ***", i % 2) for i in range(41) if i != first]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(first, "line\n" * 500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(first, 1)], "doc_id long, label int")
+    field = crf_quality.train(docs, labels, F.lit(True), most_lines=100)
+    scores = {r["doc_id"]: r["score"] for r in crf_quality.with_score(docs, field).collect()}
+    assert all(scores[i] > 0.5 if y else scores[i] < 0.5 for i, _, y in rows)
+
+
 def test_crf_without_both_labels(spark):
     docs = spark.createDataFrame([(1, "a\nb"), (2, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, label int")
