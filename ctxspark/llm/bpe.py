@@ -2,10 +2,11 @@
 
 The encoding of a prefix ends in the one token t for which the encoding of the rest ends in a token that stays apart
 from t when both are merged together. A state of the transducer is what can still matter: the pending bytes (the longest
-suffix that a longer token could start with) and, for every live cut within them, the tokens that the encoding up to the cut
-doesn't share with the others. On a byte, the tokens that all remaining cuts share are emitted, so the lookahead is bounded
-by the longest token. Transitions and states are made when they were met often enough, and kept up to a bound; rare
-pieces are run without, from the tokens that may end at each byte.
+suffix that a longer token could start with) and, for every live cut within them, the token that the encoding up to the cut
+ends with. A transition says which token ends at its byte. Transitions and states are made when first met and kept up to a bound;
+every pre-token that is no token itself goes through them. Tokens are sent once they are settled: all live cuts are within the
+longest token, so the lookahead is bounded by where their encodings meet; a short piece is settled at its end, a long one is sent
+from time to time, so that its length costs no memory but its own.
 
 Defined results: null text counts as empty, an empty text has no tokens; white space and unknown bytes are text like any
 other; repeated rows come out as often as they came in; an empty table gives an empty result.
@@ -25,16 +26,19 @@ from pyspark.sql.pandas.functions import ArrowUDFType
 
 from ctxspark.llm import common
 
-MAX_STATES = 30_000
+#: States and transitions that a worker keeps; beyond either, the tables start again from the state reached.
+MAX_STATES = 200_000
+MAX_STEPS = 500_000
 MAX_PAIRS = 300_000
 MAX_PIECES = 300_000
-#: Times that a transition must be met before it is made; until then pieces are run without.
-MET = 16
-#: Pre-tokens up to this length are run without states; those beyond LONG always with.
-SHORT, LONG = 24, 256
+MAX_UNITS = 250_000
+#: Bytes after which a long piece's settled tokens are sent.
+LOOK = 4096
 #: Pieces that a worker keeps from one task to the next: those met first, which are the common ones.
 KEPT_PIECES = 120_000
 NONE = 1 << 40
+#: Bits of a token id in a transition.
+ID_BITS = 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,7 +46,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-#: Key of what a state or node is, beside its transitions by byte; how often one not made yet was met is kept 256 higher.
+#: Key of what a node is, beside its arcs by byte.
 OWN = -1
 
 
@@ -50,26 +54,32 @@ class Transducer:
     """Encodes one pre-token, byte by byte.
 
     A node stands for pending bytes: byte -> (tokens that may end there, cuts that stay live, next node), its bytes and live cuts
-    under OWN. A state is byte -> (next state, tokens emitted), and under OWN its node, the cuts' tails and how many of their first
-    tokens are sent. Both are plain dictionaries, which Python reads fastest.
+    under OWN. A state is a node with the token that ends at each of its live cuts. `steps` has the transitions, state and byte -> next
+    state and the token that ends there; both are numbers, so that the table is one flat dictionary.
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
+        import struct
+
+        if max(ranks.values()) >> ID_BITS:
+            raise ValueError("token ids need more bits")
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.lengths = {i: len(t) for t, i in ranks.items()}
+        self.packed = {i: struct.pack("<I", i) for i in self.tokens}
         self.prefixes = {t[:n] for t in ranks for n in range(1, len(t))}
         self.apart: dict[int, bool] = {}
         self.nodes: dict[bytes, dict] = {}
         self.root = self._node(b"")
-        self.states: dict[tuple, dict] = {}
+        #: Transitions made since the worker started; tests hold it against the pieces encoded.
+        self.made = 0
         self._reset()
 
     def _reset(self) -> None:
-        for state in self.states.values():
-            state.clear()  # states refer to one another
-        self.states = {}
-        self.start = self._state(self.root, ((),), 0)
+        self.steps: dict[int, int] = {}
+        self.states: list[tuple] = []
+        self.numbers: dict[tuple, int] = {}
+        self.start = self._state(self.root, (-1,))
 
     def _node(self, pending: bytes) -> dict:
         node = self.nodes.get(pending)
@@ -86,16 +96,17 @@ class Transducer:
         keep = [k for k, i in enumerate(live) if text[i:] in self.prefixes]
         if not ends:
             raise ValueError("the vocabulary lacks a single byte")
-        sizes = [(len(text) - live[k], token) for k, token in ends]
-        found = node[byte] = (ends, keep, self._node(text[live[keep[0]] :] if keep else b""), sizes)
+        found = node[byte] = (ends, keep, self._node(text[live[keep[0]] :] if keep else b""))
         return found
 
-    def _state(self, node: dict, tails: tuple, sent: int) -> dict:
-        key = (node[OWN][0], tails, sent)
-        state = self.states.get(key)
-        if state is None:
-            state = self.states[key] = {OWN: (node, tails, sent)}
-        return state
+    def _state(self, node: dict, lasts: tuple) -> int:
+        """The state's number, 256 apart: a byte fits between."""
+        key = (id(node), lasts)  # nodes stay
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.states) << 8
+            self.states.append((node, lasts))
+        return number
 
     def merged(self, piece: bytes) -> list[int]:
         """The merges as they are defined: always the lowest rank, leftmost; for pairs of tokens, hence short."""
@@ -126,92 +137,73 @@ class Transducer:
         self.apart[(left << 20) | right] = known
         return known
 
-    def _step(self, state: dict, byte: int) -> tuple:
-        node, tails, sent = state[OWN]
-        ends, keep, after, _ = node.get(byte) or self._arc(node, byte)
+    def _step(self, state: int, byte: int) -> int:
+        """Make the transition: the token that ends after this byte is the one that stays apart from what ends before it."""
+        node, lasts = self.states[state >> 8]
+        if len(self.states) >= MAX_STATES or len(self.steps) >= MAX_STEPS:
+            self._reset()
+            state = self._state(node, lasts)
+        ends, keep, after = node[byte] if byte in node else self._arc(node, byte)
+        apart = self.apart
         for k, token in ends:
-            before = tails[k]
-            left = before[-1] if before else -1
-            apart = self.apart.get((left << 20) | token)
-            if apart or apart is None and self.stay_apart(left, token):
-                here = before + (token,)
+            pair = (lasts[k] << 20) | token
+            if apart[pair] if pair in apart else self.stay_apart(lasts[k], token):
                 break
-        if not keep:
-            out, new = here[sent:], self._state(after, (here[-1:],), 1)
         else:
-            tails = [tails[k] for k in keep]
-            tails.append(here)
-            one, other, shared = min(tails), max(tails), 0
-            for a, b in zip(one, other):
-                if a != b:
-                    break
-                shared += 1
-            out = one[sent:shared]
-            if shared > 1:
-                tails = [t[shared - 1 :] for t in tails]
-            new = self._state(after, tuple(tails), 1 if shared else 0)
-        step = state[byte] = (new, out)
+            raise ValueError("no token fits")
+        new = self._state(after, (*[lasts[k] for k in keep], token))
+        self.made += 1
+        step = self.steps[state + byte] = (new << ID_BITS) | token
         return step
 
-    def _last(self, ends: list, known: dict[int, int], at: int) -> int:
-        """The token that the encoding of the first `at` bytes ends with."""
-        apart = self.apart
-        for size, token in ends[at]:
-            before = at - size
-            left = known[before] if before in known else self._last(ends, known, before)
-            pair = (left << 20) | token
-            if apart[pair] if pair in apart else self.stay_apart(left, token):
-                known[at] = token
-                return token
-        raise ValueError("no token fits")
-
-    def _run(self, piece: bytes) -> list[int]:
-        """The same without making states: which tokens may end at each byte, then from the end back, the one that fits the rest."""
-        node, ends = self.root, [()]
-        for byte in piece:
-            try:
-                arc = node[byte]
-            except KeyError:
-                arc = self._arc(node, byte)
-            ends.append(arc[3])
-            node = arc[2]
-        known, at, way = {0: -1}, len(piece), []
-        while at:
-            token = known[at] if at in known else self._last(ends, known, at)
-            way.append(token)
-            at -= self.lengths[token]
-        way.reverse()
-        return way
-
-    def encode(self, piece: bytes) -> list[int]:
+    def _settled(self, state: int, lasts: list[int]) -> int:
+        """How many bytes all that is live has the same tokens for."""
+        pending, live = self.states[state >> 8][0][OWN]
+        ends = {len(lasts) - len(pending) + cut for cut in live}
+        while len(ends) > 1:
+            end = max(ends)
+            ends.remove(end)
+            ends.add(end - self.lengths[lasts[end - 1]])
+        return ends.pop()
+
+    def encode(self, piece: bytes) -> bytes:
+        """The ids, as little-endian 32-bit numbers.
+
+        Each byte yields the token that ends there; the way back from a settled end is the encoding.
+        """
         whole = self.ranks.get(piece)
         if whole is not None:
-            return [whole]
-        n = len(piece)
-        if n <= SHORT:
-            return self._run(piece)
-        state, out, i = self.start, [], 0
-        while True:
+            return self.packed[whole]
+        if len(piece) <= LOOK:
+            return self._back(self._walk(self.start, piece, [])[1])
+        out, state, lasts = [], self.start, []
+        for at in range(0, len(piece), LOOK):
+            state, lasts = self._walk(state, piece[at : at + LOOK], lasts)
+            settled = self._settled(state, lasts)
+            out.append(self._back(lasts[:settled]))
+            lasts = lasts[settled:]
+        return b"".join(out) + self._back(lasts)
+
+    def _walk(self, state: int, piece: bytes, lasts: list[int]) -> tuple[int, list[int]]:
+        add, mask = lasts.append, (1 << ID_BITS) - 1
+        for byte in piece:
             try:
-                while i < n:
-                    state, sent = state[piece[i]]
-                    i += 1
-                    if sent:
-                        out += sent
-                _, tails, done = state[OWN]
-                out += tails[-1][done:]
-                return out
+                step = self.steps[state + byte]
             except KeyError:
-                byte = piece[i]
-                met = state.get(byte + 256, 0)
-                if n <= LONG and met < MET:  # worth a state only if met again and again
-                    state[byte + 256] = met + 1
-                    return self._run(piece)
-                if len(self.states) > MAX_STATES:
-                    keep = state[OWN]
-                    self._reset()
-                    state = self._state(*keep)  # one endless piece may fill the tables: go on from here
-                self._step(state, byte)
+                step = self._step(state, byte)
+            add(step & mask)
+            state = step >> ID_BITS
+        return state, lasts
+
+    def _back(self, lasts: list[int]) -> bytes:
+        packed, lengths = self.packed, self.lengths
+        at, out = len(lasts), []
+        while at:
+            token = lasts[at - 1]
+            out.append(packed[token])
+            at -= lengths[token]
+        out.reverse()
+        return b"".join(out)
 
 
 class Pieces(dict):
@@ -220,18 +212,8 @@ class Pieces(dict):
     def __init__(self, transducer: Transducer) -> None:
         self.transducer = transducer
 
-    def trim(self) -> None:
-        """Give memory back at the end of a task; workers outlive their tasks."""
-        if len(self) > KEPT_PIECES:
-            kept = list(islice(self.items(), KEPT_PIECES))
-            self.clear()
-            self.update(kept)
-
     def __missing__(self, piece: str) -> bytes:
-        import struct
-
-        ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
         if len(piece) <= 48:
             if len(self) >= MAX_PIECES:
                 self.clear()
@@ -239,20 +221,83 @@ class Pieces(dict):
         return packed
 
 
+def open_end(stretch: str) -> bool:
+    """Whether how the stretch is split depends on what follows."""
+    return not stretch or stretch[-1].isspace()
+
+
+class Units(dict):
+    """Encoded stretches of text from one space to the next, that space first; short ones are kept, up to a bound.
+
+    Where a space follows anything but white space, a pre-token begins, so stretches may be split apart. A stretch that ends in white
+    space is None here: how it is split depends on what follows.
+    """
+
+    def __init__(self, pieces: Pieces, split) -> None:
+        self.pieces, self.split = pieces, split
+
+    def __missing__(self, unit: str) -> bytes | None:
+        if open_end(unit):
+            packed = None
+        else:
+            pieces = self.pieces
+            packed = b"".join([pieces[p] for p in self.split(" " + unit)])
+        if len(unit) <= 32:
+            if len(self) >= MAX_UNITS:
+                self.clear()
+            self[unit] = packed
+        return packed
+
+
 class Codec:
     def __init__(self, path: str, pattern: str) -> None:
+        import public_tokenizers
         import regex
 
         self.split = regex.compile(pattern).findall
         ranks = read_ranks(path)
         self.pieces = Pieces(Transducer(ranks))
+        # other patterns may match across a space
+        self.units = Units(self.pieces, self.split) if pattern == public_tokenizers.PATTERN else None
         self.table = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.table[rank] = token
 
     def encode(self, text: bytes) -> bytes:
+        whole = text.decode("utf-8", "replace")
+        if self.units is None:
+            return self._plain(whole)
+        stretches, units = whole.split(" "), self.units
+        coded = [units[u] for u in stretches]
+        if stretches[0]:  # no space before the first
+            coded[0] = None
+        if None not in coded:
+            return b"".join(coded)
+        # stretches whose end is open go together with those that follow
+        out, at, n = [], 0, len(stretches)
+        while at < n:
+            if coded[at] is not None:
+                out.append(coded[at])
+                at += 1
+                continue
+            end = at + 1
+            while end < n and open_end(stretches[end - 1]):
+                end += 1
+            out.append(self._plain((" " if at else "") + " ".join(stretches[at:end])))
+            at = end
+        return b"".join(out)
+
+    def _plain(self, text: str) -> bytes:
         pieces = self.pieces
-        return b"".join([pieces[p] for p in self.split(text.decode("utf-8", "replace"))])
+        return b"".join([pieces[p] for p in self.split(text)])
+
+    def trim(self) -> None:
+        """Give memory back at the end of a task; workers outlive their tasks."""
+        for kept, most in ((self.pieces, KEPT_PIECES), (self.units or {}, KEPT_PIECES)):
+            if len(kept) > most:
+                first = list(islice(kept.items(), most))
+                kept.clear()
+                kept.update(first)
 
     def decode(self, packed: bytes, chunk: int = 1 << 16) -> str:
         import numpy as np
@@ -311,7 +356,7 @@ def _encoder(path: str, pattern: str):
             for text in batches:
                 yield pa.array([own.encode(x) for x in common.texts(text)], pa.binary())
         finally:
-            own.pieces.trim()
+            own.trim()
             common.release()
 
     # else the optimiser may put the call in place of its result, and run it once more for each use
@@ -342,7 +387,7 @@ def _round_tripper(path: str, pattern: str):
                 ids = [own.encode(x) for x in common.texts(text)]
                 yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.string())], names=CODED.names)
         finally:
-            own.pieces.trim()
+            own.trim()
             common.release()
 
     return F.arrow_udf(code, CODED, ArrowUDFType.SCALAR_ITER)

@@ -206,16 +206,43 @@ def test_bpe_is_tiktoken(spark, small, hard, hard_docs):
 
 
 def test_bpe_transducer_on_random_bytes(monkeypatch):
-    """States made at once, never, and with full tables give the same ids."""
+    """Full tables, and tokens sent from time to time, give the same ids."""
     own = bpe.Transducer({**{bytes((b,)): b for b in range(256)}, **{t: 256 + i for i, t in enumerate([b"ab", b"bc", b"abc", b"ca", b"aa", b"aaaa", b"bca", b"cab"])}})
     r = np.random.default_rng(2)
-    for met, most in ((0, 10**6), (10**9, 10**6), (0, 3)):
-        monkeypatch.setattr(bpe, "MET", met)
-        monkeypatch.setattr(bpe, "MAX_STATES", most)
-        monkeypatch.setattr(bpe, "SHORT", 0 if met < 9 else 24)
+    for states, steps, look in ((10**6, 10**6, 4096), (3, 10**6, 4096), (10**6, 5, 4096), (10**6, 10**6, 1), (4, 7, 5)):
+        monkeypatch.setattr(bpe, "MAX_STATES", states)
+        monkeypatch.setattr(bpe, "MAX_STEPS", steps)
+        monkeypatch.setattr(bpe, "LOOK", look)
         for _ in range(2000):
             piece = bytes(r.choice(list(b"abcd"), r.integers(1, 30)).tolist())
-            assert own.encode(piece) == own.merged(piece), piece
+            assert np.frombuffer(own.encode(piece), "<u4").tolist() == own.merged(piece), piece
+
+
+def test_bpe_states_encode_every_piece_that_is_no_token(spark, monkeypatch):
+    """With the settings in use: bytes that went through transitions are those of all pieces met first that are no tokens."""
+    import tiktoken
+
+    path, pattern = bpe.vocabulary()
+    own, walked = bpe.Codec(path, pattern), []
+    walk = own.pieces.transducer._walk
+    monkeypatch.setattr(own.pieces.transducer, "_walk", lambda state, piece, lasts: walked.append(len(piece)) or walk(state, piece, lasts))
+    theirs = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=own.pieces.transducer.ranks, special_tokens={})
+    stored = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for text in stored:
+        assert own.encode(text.encode()) == np.array(theirs.encode_ordinary(text), "<u4").tobytes()
+    met = {p.encode() for t in stored for p in own.split(t)}
+    assert sum(walked) >= sum(len(p) for p in met if p not in own.pieces.transducer.ranks) > 0
+    assert 0 < own.pieces.transducer.made < sum(walked) / 2  # transitions are met again
+
+
+def test_bpe_splits_at_spaces_as_the_pattern_does():
+    import random
+
+    own, r = bpe.Codec(*bpe.vocabulary()), random.Random(1)
+    parts = [" ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "a", "B", "'s", "'ll", "1", "²", "Ⅷ", ".", "日", "é", "_", "🤦", "\u200b", "\x00", "\r\n"]
+    for _ in range(5000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        assert own.encode(text.encode()) == own._plain(text), repr(text)
 
 
 def test_utf8_in_any_pieces():
