@@ -72,6 +72,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """df, cut, with a broadcast hint if it has at most so many rows; beyond that Spark deals it out."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     """edges (u, ...) with the least (m) around u. The key is renewed, so that a hub with very many edges may be split."""
     key = F.col("u").bitwiseXOR(F.lit(1))

@@ -1,13 +1,14 @@
 """Quality rules, judged by host.
 
-Every text gets counts and rule failures. Failures are summed by host (`source`); a host's rate for a rule is shrunk towards
-the corpus rate by a beta prior fitted to the hosts (method of moments): (fails + s * mean) / (n + s), where
-s = mean * (1 - mean) / variance - 1, from 1 to 1000. A host whose shrunk rate for a rule reaches `HOST_LIMIT` is bad for it, and
-this verdict goes back to its documents: those that break the rule there are rejected, while a single failure on a good
-host is tolerated. Documents that break no rule are kept everywhere. The base rule (too short, or repetitive) rejects by itself.
+Every text gets counts and rule failures. The base rule (too short, or repetitive) rejects by itself. Of the texts that pass it, failures
+of the other rules are summed by host (`source`); a host's rate for a rule is shrunk towards the corpus rate by a beta prior fitted to the
+hosts (method of moments): (fails + s * mean) / (n + s), where s = mean * (1 - mean) / variance - 1, from 1 to 1000. The limit comes from the
+corpus: the mean of the rules' corpus rates. A host whose shrunk rate for a rule reaches it is bad for that rule, and this verdict goes back to
+its documents: those that break the rule there are rejected. A failure is tolerated where it is an accident: on hosts, mostly of rules, that
+are broken less often than rules are in the whole corpus; small hosts stand near the corpus rate. Documents that break no rule are kept everywhere.
 
-Sums are partial before the shuffle, and the verdicts are joined on a key that adaptive execution may split, so a host
-with a third of all rows is no hot task.
+Sums are partial before the shuffle. Verdicts are broadcast up to a checked number of hosts, else joined on a key that adaptive execution
+may split, so a host with a third of all rows is no hot task.
 
 Defined results: null text counts as empty (no words, base_failed); null hosts are one host of their own; repeated rows each
 count and come out as often as they came in; an empty table gives an empty result; other columns pass through.
@@ -26,8 +27,9 @@ from ctxspark.llm import common
 MAX_SYMBOLS_PER_WORD = 0.1
 MAX_DUP_LINES = 0.3
 WORD_LENGTHS = (2.5, 14.0)
-HOST_LIMIT = 0.5
-RULES = ("base", "symbols", "lines", "length")
+#: Hosts up to which their verdicts are broadcast; beyond that they are joined.
+BROADCAST_HOSTS = 100_000
+RULES = ("symbols", "lines", "length")
 
 COUNTS = common.struct("n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
 SPACES = b" \t\n\x0b\x0c\r"
@@ -87,14 +89,18 @@ def host_key(host: str):
 
 
 def host_verdicts(counted: DataFrame, host: str = "source", quality: str = "quality") -> DataFrame:
-    """One row per host: host_key, n_docs, and per rule rate_ (shrunk) and bad_."""
+    """One row per host: host_key, n_docs, n_judged (those that pass the base rule), and per rule rate_ (shrunk) and bad_."""
     failed = failures(quality)
+    passed = ~failed["base"]
     sums = counted.groupBy(host_key(host).alias("host_key")).agg(
-        F.count("*").alias("n_docs"), *[F.count_if(c).alias(f"fails_{r}") for r, c in failed.items()]
+        F.count("*").alias("n_docs"), F.count_if(passed).alias("n_judged"), *[F.count_if(passed & failed[r]).alias(f"fails_{r}") for r in RULES]
     )
+    judged = F.nullif(F.col("n_judged"), F.lit(0))
+    all_judged = F.nullif(F.sum("n_judged"), F.lit(0))
     prior = sums.agg(
-        *[(F.sum(f"fails_{r}") / F.sum("n_docs")).alias(f"mean_{r}") for r in RULES],
-        *[F.var_pop(F.col(f"fails_{r}") / F.col("n_docs")).alias(f"var_{r}") for r in RULES],
+        (sum((F.sum(f"fails_{r}") for r in RULES[1:]), F.sum(f"fails_{RULES[0]}")) / (all_judged * len(RULES))).alias("limit"),
+        *[(F.sum(f"fails_{r}") / all_judged).alias(f"mean_{r}") for r in RULES],
+        *[F.var_pop(F.col(f"fails_{r}") / judged).alias(f"var_{r}") for r in RULES],
     )
     for r in RULES:
         mean, var = F.col(f"mean_{r}"), F.col(f"var_{r}")
@@ -104,20 +110,21 @@ def host_verdicts(counted: DataFrame, host: str = "source", quality: str = "qual
     # the prior is one row
     shrunk = sums.join(F.broadcast(prior))
     for r in RULES:
-        rate = (F.col(f"fails_{r}") + F.col(f"strength_{r}") * F.col(f"mean_{r}")) / (F.col("n_docs") + F.col(f"strength_{r}"))
-        shrunk = shrunk.withColumn(f"rate_{r}", rate).withColumn(f"bad_{r}", F.col(f"rate_{r}") >= HOST_LIMIT)
-    return shrunk.select("host_key", "n_docs", *[f"rate_{r}" for r in RULES], *[f"bad_{r}" for r in RULES])
+        rate = (F.col(f"fails_{r}") + F.col(f"strength_{r}") * F.col(f"mean_{r}")) / (F.col("n_judged") + F.col(f"strength_{r}"))
+        shrunk = shrunk.withColumn(f"rate_{r}", rate).withColumn(f"bad_{r}", F.coalesce(F.col(f"rate_{r}") >= F.col("limit"), F.lit(False)))
+    return shrunk.select("host_key", "n_docs", "n_judged", "limit", *[f"rate_{r}" for r in RULES], *[f"bad_{r}" for r in RULES])
 
 
 def judge(counted: DataFrame, hosts: DataFrame, host: str = "source", quality: str = "quality", out: str = "verdict") -> DataFrame:
     """counted with a struct: base_failed, kept."""
     failed = failures(quality)
-    right = hosts.select(
-        F.concat("host_key", F.lit("")).alias(f"{out}_host"), F.struct(*[f"bad_{r}" for r in RULES]).alias(f"{out}_bad")
+    right = common.checked_broadcast(
+        hosts.select(F.concat("host_key", F.lit("")).alias(f"{out}_host"), F.struct(*[f"bad_{r}" for r in RULES]).alias(f"{out}_bad")),
+        BROADCAST_HOSTS,
     )
     joined = counted.join(right, host_key(host) == F.col(f"{out}_host"), "left")
     rejected = failed["base"]
-    for r in RULES[1:]:
+    for r in RULES:
         rejected = rejected | (failed[r] & F.col(f"{out}_bad.bad_{r}"))
     verdict = F.struct(failed["base"].alias("base_failed"), F.coalesce(~rejected, F.lit(False)).alias("kept"))
     return joined.withColumn(out, verdict).drop(f"{out}_host", f"{out}_bad")
@@ -153,15 +160,16 @@ f AS (
          n_dup_lines > 0.3::DOUBLE * n_lines AS f_lines,
          (word_chars < 2.5::DOUBLE * n_words OR word_chars > 14.0::DOUBLE * n_words) AS f_length FROM base),
 h AS (
-  SELECT host, count(*) AS n, count(*) FILTER (f_base) AS k_base, count(*) FILTER (f_symbols) AS k_symbols,
-         count(*) FILTER (f_lines) AS k_lines, count(*) FILTER (f_length) AS k_length FROM f GROUP BY host),
-long AS (UNPIVOT h ON k_base, k_symbols, k_lines, k_length INTO NAME rule VALUE k),
+  SELECT host, count(*) FILTER (NOT f_base) AS n, count(*) FILTER (NOT f_base AND f_symbols) AS k_symbols,
+         count(*) FILTER (NOT f_base AND f_lines) AS k_lines, count(*) FILTER (NOT f_base AND f_length) AS k_length FROM f GROUP BY host),
+long AS (UNPIVOT h ON k_symbols, k_lines, k_length INTO NAME rule VALUE k),
+lim AS (SELECT sum(k)::DOUBLE / nullif(sum(n), 0) AS limit_ FROM long),
 prior AS (
   SELECT rule, m, CASE WHEN v > 0 THEN greatest(1, least(1000, m * (1 - m) / v - 1)) ELSE 1000 END AS s
-  FROM (SELECT rule, sum(k)::DOUBLE / sum(n) AS m, var_pop(k::DOUBLE / n) AS v FROM long GROUP BY rule)),
+  FROM (SELECT rule, sum(k)::DOUBLE / nullif(sum(n), 0) AS m, var_pop(k::DOUBLE / nullif(n, 0)) AS v FROM long GROUP BY rule)),
 bad AS (
   SELECT host, max(b) FILTER (rule = 'k_symbols') AS b_symbols, max(b) FILTER (rule = 'k_lines') AS b_lines, max(b) FILTER (rule = 'k_length') AS b_length
-  FROM (SELECT host, rule, (k + s * m) / (n + s) >= 0.5 AS b FROM long JOIN prior USING (rule)) GROUP BY host)
+  FROM (SELECT host, rule, coalesce((k + s * m) / (n + s) >= limit_, false) AS b FROM long JOIN prior USING (rule), lim) GROUP BY host)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, f_base AS base_failed,
        NOT (f_base OR (f_symbols AND b_symbols) OR (f_lines AND b_lines) OR (f_length AND b_length)) AS kept

@@ -290,6 +290,21 @@ def test_a_bad_host_loses_what_breaks_its_rule(spark):
     assert kept == {i for i in range(0, 100, 10)} | {1000 + i for i in range(2000)}
 
 
+def test_host_verdicts_change_rows(spark):
+    """On the common tables the verdict rejects documents that the base rule keeps, none of them labelled good."""
+    sf = "/root/testdata/sf0.01"
+    found = QUERIES["op5_host_rules"](spark, sf).where("NOT base_failed AND NOT kept").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left")
+    rows = found.collect()
+    assert len(rows) > 30 and sum(r["quality"] == 0 for r in rows) > 10 and not any(r["quality"] == 1 for r in rows)
+
+
+def test_host_verdicts_without_judged_documents(spark):
+    rows = [(1, "too short", "a"), (2, None, None), (3, "plain words that make a text long enough to pass the base rule here", "b")]
+    counted = quality_rules.with_counts(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for part, expected in ((counted, {1: False, 2: False, 3: True}), (counted.where("doc_id < 3"), {1: False, 2: False})):
+        assert {r["doc_id"]: r["kept"] for r in quality_rules.judge(part, quality_rules.host_verdicts(part)).select("doc_id", "verdict.kept").collect()} == expected
+
+
 # --- 6
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ctxspark.llm import bpe, mixing, quality_rules, substring
+from ctxspark.llm import bpe, mixing, substring
 from tests.llm.test_operators import WORD, counts_by_force, simhash_by_force
 
 SF = "/root/testdata/sf0.001"
@@ -23,15 +23,16 @@ def rejected(rows):
         words, chars, symbols, dups, repeated = counts_by_force(r["text"])
         lines = sum(bool(WORD.search(x)) for x in r["text"].split("\n"))
         broken.append((words < 10 or 100 * repeated > 20 * words, symbols > 0.1 * words, dups > 0.3 * lines, chars < 2.5 * words or chars > 14 * words))
-    hosts = sorted({r["source"] for r in rows})
+    judged = [(r["source"], b) for r, b in zip(rows, broken) if not b[0]]
+    n = collections.Counter(host for host, _ in judged)
+    fails = [collections.Counter(host for host, b in judged if b[rule]) for rule in range(4)]
+    limit = sum(sum(f.values()) for f in fails[1:]) / (3 * len(judged))
     bad = set()
     for rule in range(1, 4):
-        n = collections.Counter(r["source"] for r in rows)
-        fails = collections.Counter(r["source"] for r, b in zip(rows, broken) if b[rule])
-        mean = sum(fails.values()) / len(rows)
-        spread = np.var([fails[h] / n[h] for h in hosts])
+        mean = sum(fails[rule].values()) / len(judged)
+        spread = np.var([fails[rule][h] / n[h] for h in n])
         strength = min(1000, max(1, mean * (1 - mean) / spread - 1)) if spread > 0 else 1000
-        bad |= {(h, rule) for h in hosts if (fails[h] + strength * mean) / (n[h] + strength) >= quality_rules.HOST_LIMIT}
+        bad |= {(h, rule) for h in n if (fails[rule][h] + strength * mean) / (n[h] + strength) >= limit}
     return [b[0] or any(b[k] and (r["source"], k) in bad for k in (1, 2, 3)) for r, b in zip(rows, broken)]
 
 
