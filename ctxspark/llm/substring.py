@@ -15,7 +15,8 @@ fixed largest size (`MAX_LOG_CELLS`); beyond it they let more through and the ex
 only counted, with partial sums, and joins are on keys that adaptive execution may split, so a hot passage or
 thousands of copies don't meet in one task.
 
-Defined results: null text counts as empty; texts of fewer words than a window are kept; a row repeated with its
+Defined results: bytes that are no UTF-8 are parts of words like others; very long texts are scanned in overlapping pieces, and held once more
+as words when they are cut; null text counts as empty; texts of fewer words than a window are kept; a row repeated with its
 text counts as another place, so both lose their words; rows come out as often as they came in; an empty table gives
 an empty result. Columns other than the text are passed through or ignored.
 """
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,9 @@ FETCHES = 16
 POSITION_BITS = 28
 M64 = 2**64 - 1
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Longer texts are scanned in overlapping pieces.
+PIECE_BYTES = 4 << 20
 
 
 class Bitmap:
@@ -175,17 +179,17 @@ def _powers(n: int):
 
 
 class Runs:
-    """Windows of a batch of texts, in runs of one anchor each."""
+    """Windows of a group of pieces of texts, in runs of one anchor each."""
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, group: list[tuple[int, int, bytes]]) -> None:
         import numpy as np
         from xxhash import xxh3_128_digest
 
-        split = [x.split() for x in texts]
+        split = [x.split() for _, _, x in group]
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         n = int(lengths.sum())
         if n >= 1 << POSITION_BITS:
-            raise ValueError("too many words in one batch of texts")
+            raise ValueError("too many words in one group of pieces")
         self.first = np.cumsum(lengths) - lengths
         ends = self.first + lengths - WINDOW + 1  # window starts of text t: first[t] .. ends[t] - 1
         self.anchor = np.zeros(0, np.uint64)
@@ -234,15 +238,32 @@ class Runs:
         return run, np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + self.start[run]
 
 
-def _groups(batch, most: int = 2 << 20):
-    """The batch's texts, a few MB at a time (a longer text alone)."""
+def pieces(text: bytes, most: int | None = None):
+    """(words before, piece) so that each window starts in one piece and ends in it: a piece holds the next one's first words as well."""
+    most = PIECE_BYTES if most is None else most
+    at = words = 0
+    while True:
+        space = SPACE.search(text, at + most) if at + most < len(text) else None
+        if space is None:
+            yield words, text[at:]
+            return
+        cut = space.start()
+        more = list(islice(WORD.finditer(text, cut), WINDOW - 1))
+        yield words, text[at : more[-1].end() if more else cut]
+        words += len(text[at:cut].split())
+        at = cut
+
+
+def _groups(texts: list[bytes], most: int = 2 << 20):
+    """(text's place in the batch, words before, piece) of the texts, a few MB at a time."""
     held, size = [], 0
-    for x in common.texts(batch.column(0)):
-        if held and size + len(x) > most:
-            yield held
-            held, size = [], 0
-        held.append(x)
-        size += len(x)
+    for i, x in enumerate(texts):
+        for words, piece in pieces(x):
+            if held and size + len(piece) > most:
+                yield held
+                held, size = [], 0
+            held.append((i, words, piece))
+            size += len(piece)
     if held:
         yield held
 
@@ -256,7 +277,7 @@ def _signed(x):
 def _anchors(batch):
     import numpy as np
 
-    return np.concatenate([np.zeros(0, np.uint64), *(Runs(g).anchor for g in _groups(batch))])
+    return np.concatenate([np.zeros(0, np.uint64), *(Runs(g).anchor for g in _groups(common.texts(batch.column(0))))])
 
 
 def _key_column(batch):
@@ -274,7 +295,7 @@ def _counted(columns: list, names: list[str]):
 def _span_scan(maybe):
     def scan(batches):
         for batch in batches:
-            for group in _groups(batch):
+            for group in _groups(common.texts(batch.column(0))):
                 runs = Runs(group)
                 runs.pick(maybe.value.may_hold(runs.anchor))
                 if len(runs.start):
@@ -288,7 +309,7 @@ def _window_scan(maybe, shared):
 
     def scan(batches):
         for batch in batches:
-            for group in _groups(batch):
+            for group in _groups(common.texts(batch.column(0))):
                 runs = Runs(group)
                 runs.pick(maybe.value.may_hold(runs.anchor))
                 runs.pick(shared.value.may_hold(runs.keys(runs.start, runs.stop)[0]))
@@ -308,16 +329,18 @@ def _place_scan(maybe, single, repeated, most_seen: int = 200_000):
 
         seen: set = set()
         for batch in batches:
-            for group in _groups(batch):
-                fresh = []
-                for x in group:
-                    key = hashlib.md5(x).digest()
-                    if key not in seen:
-                        if len(seen) >= most_seen:
-                            seen.clear()
-                        seen.add(key)
-                        fresh.append((key, x))
-                runs = Runs([x for _, x in fresh])
+            names, fresh = [], []
+            for x in common.texts(batch.column(0)):
+                key = hashlib.md5(x).digest()
+                if key not in seen:
+                    if len(seen) >= most_seen:
+                        seen.clear()
+                    seen.add(key)
+                    names.append(key)
+                    fresh.append(x)
+            for group in _groups(fresh):
+                runs = Runs(group)
+                before = np.array([words for _, words, _ in group])
                 runs.pick(maybe.value.may_hold(runs.anchor))
                 if not len(runs.start):
                     continue
@@ -333,10 +356,10 @@ def _place_scan(maybe, single, repeated, most_seen: int = 200_000):
                     text = np.concatenate((text, runs.text[run][some]))
                     a, b = (np.concatenate((x, y[some])) for x, y in zip((a, b), keys))
                 if len(start):
-                    names = [fresh[i][0] for i in text]
-                    place = ((start - runs.first[text]) << 32) | (stop - runs.first[text] + WINDOW)
+                    shift = before[text] - runs.first[text]
+                    place = ((start + shift) << 32) | (stop + shift + WINDOW)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(_signed(a), pa.int64()), pa.array(_signed(b), pa.int64()), pa.array(names, pa.binary()), pa.array(place, pa.int64())],
+                        [pa.array(_signed(a), pa.int64()), pa.array(_signed(b), pa.int64()), pa.array([names[group[i][0]] for i in text], pa.binary()), pa.array(place, pa.int64())],
                         names=["a", "b", "t", "place"],
                     )
 
@@ -379,7 +402,7 @@ def repeated_places(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-CUT = common.struct("n_words long, n_removed long, kept string, kept_sha256 string")
+CUT = common.struct("n_words long, n_removed long, kept binary, kept_sha256 string")
 
 
 @F.arrow_udf(CUT)
@@ -410,13 +433,13 @@ def _cut_words(text, places):
         digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
     common.release()
     return pa.StructArray.from_arrays(
-        [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digests, pa.string())],
+        [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(digests, pa.string())],
         names=["n_words", "n_removed", "kept", "kept_sha256"],
     )
 
 
 def with_removed(docs: DataFrame, out: str = "cut", text: str = "text") -> DataFrame:
-    """docs with a struct: n_words, n_removed, kept (the text without the removed words; untouched texts stay as
+    """docs with a struct: n_words, n_removed, kept (UTF-8 of the text without the removed words; untouched texts stay as
     they are) and kept_sha256 (of the kept words joined by one space)."""
     places = repeated_places(docs, text)
     key = f"__{out}_key"

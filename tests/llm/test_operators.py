@@ -138,6 +138,54 @@ def test_substring_dedup_of_periodic_and_shared_texts(spark, save):
     assert cut_rows(QUERIES["op2_substring_cms"](spark, folder).collect()) == sorted(cut_by_force(rows), key=str)
 
 
+def test_substring_dedup_in_pieces(spark, small, save, monkeypatch):
+    """Texts cut into small overlapping pieces: every window is in one piece, and results are the same."""
+    words = [f"w{i}" for i in range(300)]
+    text = " \n".join(words).encode() + b" "
+    for size in (1, 7, 50, 333):
+        met = []
+        for before, piece in substring.pieces(text, size):
+            own = [w.decode() for w in piece.split()]
+            met += [(before + i, own[i : i + 35]) for i in range(len(own) - 34)]
+        assert met == [(i, words[i : i + 35]) for i in range(266)]
+    monkeypatch.setattr(substring, "PIECE_BYTES", 400)
+    assert cut_rows(spark_rows(spark, save, small)) == sorted(cut_by_force(small), key=str)
+
+
+def spark_rows(spark, save, rows):
+    """op2's rows, the scans running in this process so that patches hold."""
+    docs = [t.encode() for _, t in rows]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(docs, pa.binary())], names=["text"])
+    everything = collections.namedtuple("Shared", "value")(collections.namedtuple("All", "may_hold")(lambda keys: np.ones(len(keys), bool)))
+    places = [r for part in substring._place_scan(everything, everything, everything)([batch]) for r in part.to_pylist()]
+    windows = collections.Counter((r["a"], r["b"]) for part in substring._window_scan(everything, everything)([batch]) for r in part.to_pylist())
+    copies = collections.Counter(docs)
+    by = collections.defaultdict(set)
+    for r in places:  # spans of one window are enough: the scan lists all single windows too
+        start, end = r["place"] >> 32, r["place"] & 0xFFFFFFFF
+        if end - start == 35 and windows[r["a"], r["b"]] > 1 or copies[next(d for d in copies if hashlib.md5(d).digest() == r["t"])] > 1:
+            by[r["t"]].add(r["place"])
+    out = []
+    for (doc_id, _), d in zip(rows, docs):
+        found = by[hashlib.md5(d).digest()]
+        words, gone = d.split(), set()
+        for place in found:
+            gone |= set(range(place >> 32, place & 0xFFFFFFFF))
+        kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
+        out.append({"doc_id": doc_id, "n_words": len(words), "n_removed": len(gone), "kept_sha256": hashlib.sha256(kept).hexdigest()})
+    return out
+
+
+def test_substring_dedup_of_bytes_that_are_no_text(spark):
+    shared = " ".join(f"s{i}" for i in range(40))
+    docs = spark.sql(f"SELECT id AS doc_id, concat(CAST(X'FF4120C328' AS STRING), ' {shared} ', CAST(id AS STRING), CAST(X'20E697' AS STRING)) AS text FROM range(3)")
+    for r in substring.with_removed(docs, "cut").select("doc_id", "cut.*").collect():
+        kept = str(r["doc_id"]).encode() + b" \xe6\x97"
+        assert (r["n_words"], r["n_removed"], bytes(r["kept"]), r["kept_sha256"]) == (44, 42, kept, hashlib.sha256(kept).hexdigest())
+
+
 def test_a_crowded_sketch_loses_nothing(spark, small, monkeypatch):
     monkeypatch.setattr(substring, "log_cells", lambda keys, threshold: 16)
     assert cut_rows(QUERIES["op2_substring_cms"](spark, SF).collect()) == sorted(cut_by_force(small), key=str)
