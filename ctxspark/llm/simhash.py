@@ -27,28 +27,38 @@ SHARD_ROWS = 4096
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """A bit is set if it is set in over half the shingles' XXH64; no words: 0."""
+def shingle_hashes(text: bytes, width: int = 4):
+    """XXH64 of each shingle of lower-cased words, repeats included; fewer words than a shingle: the whole sequence; no words: none."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     words = text.translate(LOWER).split()
     if not words:
-        return 0
-    if len(words) <= width:
-        return xxh64_intdigest(b" ".join(words), SEED)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[: -width] + 1)).tolist()
     stops = ends[width - 1 :].tolist()
-    n = len(stops)
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(stops))
+
+
+def fingerprint_of(hashes) -> int:
+    """A bit is set if it is set in over half the hashes; none: 0."""
+    import numpy as np
+
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):  # a very long text in pieces: 4 MB of bits at a time
+    for at in range(0, len(hashes), 65536):  # a very long text in parts: 4 MB of bits at a time
         part = hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * counts > n, bitorder="little")
-    return int(bits.view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, width: int = 4) -> int:
+    return fingerprint_of(shingle_hashes(text, width))
 
 
 def _fingerprints(text):
@@ -71,15 +81,18 @@ def with_fingerprint(docs: DataFrame, out: str = "fp", text: str = "text") -> Da
 
 
 class BKTree:
-    """Nodes in arrays; each has a dictionary from distance to child."""
+    """Nodes in arrays; each has a dictionary from distance to child. `met` hears of each pair that insertion compares."""
 
-    def __init__(self, values: list[int]) -> None:
+    def __init__(self, values: list[int], met=None) -> None:
         self.values = values
         self.children: list[dict[int, int]] = [{} for _ in values]
         for node in range(1, len(values)):
             at, value = 0, values[node]
             while True:
-                step = self.children[at].setdefault((values[at] ^ value).bit_count(), node)
+                distance = (values[at] ^ value).bit_count()
+                if met is not None:
+                    met(value, values[at], distance)
+                step = self.children[at].setdefault(distance, node)
                 if step == node:
                     break
                 at = step
@@ -98,6 +111,24 @@ class BKTree:
         return found
 
 
+def tree_links(values: list[int], radius: int, links) -> None:
+    """Join all distinct values within the radius.
+
+    Insertion compares a value with its ancestors and joins what is near, which settles most of a dense cluster. Of a
+    link still open, one end is outside the largest component, so only what is outside it searches the tree.
+    """
+    tree = BKTree(values, lambda x, y, distance: distance <= radius and links.join(x, y))
+    sizes: dict[int, int] = {}
+    roots = [links.find(x) for x in values]
+    for root in roots:
+        sizes[root] = sizes.get(root, 0) + 1
+    largest = max(sizes, key=sizes.get)
+    for value, root in zip(values, roots):
+        if root != largest:
+            for j in tree.within(value, radius):
+                links.join(value, values[j])
+
+
 def _blocks(bits: list[int], parts: int) -> list[list[int]]:
     size, more = divmod(len(bits), parts)
     out, at = [], 0
@@ -111,11 +142,7 @@ def _blocks(bits: list[int], parts: int) -> list[list[int]]:
 def _shard_edges(values: list[int], bits: list[int], radius: int, shard_rows: int, links) -> None:
     """Join all values within the radius; values are distinct and agree outside `bits`."""
     if len(values) <= shard_rows or len(bits) <= radius + 1:
-        tree = BKTree(values)
-        for i, value in enumerate(values):
-            for j in tree.within(value, radius):
-                if j < i:
-                    links.join(value, values[j])
+        tree_links(values, radius, links)
         return
     for block in _blocks(bits, radius + 1):
         mask = sum(1 << b for b in block)
@@ -204,7 +231,9 @@ def classes(prints: DataFrame, radius: int = 4) -> DataFrame:
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select(F.col("fp").alias("fp_"), "root", "component_id")
+    # a renewed key, so that a class with very many fingerprints may be split
+    least = least.select(F.col("root").bitwiseXOR(F.lit(1)).alias("top"), "component_id")
+    return rooted.join(least, F.col("root").bitwiseXOR(F.lit(1)) == F.col("top")).select(F.col("fp").alias("fp_"), "root", "component_id")
 
 
 def _prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -218,16 +247,6 @@ def near_duplicates(docs: DataFrame, radius: int = 4, doc_id: str = "doc_id", te
     return prints.join(classes(prints, radius), F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stand for their class: those with its least id, and only one of repeated rows."""
-    found = classes(_prints(docs, doc_id, text), radius).select(
-        F.col("fp_").alias("__fp_"), F.col("root").alias("__root"), F.col("component_id").alias("__component")
-    )
-    printed = with_fingerprint(docs, "__fp", text)
-    kept = printed.join(found, F.col("__fp") == F.col("__fp_")).where(F.col(doc_id).eqNullSafe(F.col("__component")))
-    return kept.dropDuplicates(["__root"]).drop("__fp", "__fp_", "__root", "__component")
-
-
 def hex_of(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

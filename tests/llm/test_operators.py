@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ctxspark.llm import bloom_lm, bpe, common, crf_quality, embedding_dedup, mixing, quality_rules, registry, sharding, simhash, substring, word_pieces
+from ctxspark.llm import bloom_lm, bpe, common, crf_quality, embedding_dedup, mixing, quality_rules, registry, sharding, simhash, similar_texts, substring, word_pieces
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -590,6 +590,67 @@ def test_links_of_random_prints_with_hot_shards(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, own.values()))
 
 
+def shingles_by_force(text, width=5):
+    words = WORD.findall(text.translate(LOWER))
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def alike_by_force(rows, similarity=0.8):
+    """(doc_id, least doc_id of its group) for texts whose sets of five-word shingles are alike."""
+    sets = [shingles_by_force(t) for _, t in rows]
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9]
+    roots = components(len(rows), links)
+    least = {}
+    for (i, _), root in zip(rows, roots):
+        if i is not None:
+            least[root] = min(least.get(root, i), i)
+    return [(i, least.get(root)) for (i, _), root in zip(rows, roots)]
+
+
+def edited(r, words, changes):
+    words = list(words)
+    for at in r.choice(len(words), changes, replace=False):
+        words[at] = f"e{r.integers(10**9)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("small_blocks", [False, True])
+def test_similar_texts(spark, small, hard_docs, monkeypatch, small_blocks):
+    """Near copies by edits on both sides of the limit, copies of copies, the smallest documents and hard rows, against all pairs."""
+    if small_blocks:
+        monkeypatch.setattr(similar_texts, "BLOCK_SHINGLES", 500)
+        monkeypatch.setattr(similar_texts.candidates, "__defaults__", (2,))
+        monkeypatch.setattr(similar_texts, "BROADCAST_TEXTS", 0)
+    r = np.random.default_rng(11)
+    rows = [(i + 10_000, t) for i, t in small] + [(x[0], x[1] or "") for x in hard_docs[0]]
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(int(r.integers(5, 400)))]
+        for k in range(8):
+            rows.append((20_000 + 100 * g + k, edited(r, words, min(len(words) // 3, int(len(words) * 0.006 * k)))))
+            if k % 3 == 2:
+                words = rows[-1][1].split()
+    expected = {(str(i), least) for i, least in alike_by_force(rows)}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, root string")
+    found = similar_texts.classes(docs).collect()
+    least = {}
+    for x in found:
+        if x["least"]["doc_id"] is not None:
+            least[x["root"]] = min(least.get(x["root"], 10**9), x["least"]["doc_id"])
+    by_digest = {bytes(x["t"]): least.get(x["root"]) for x in found}
+    assert {(str(i), by_digest[hashlib.md5(t.encode()).digest()]) for i, t in rows} == expected
+    kept = [x["doc_id"] for x in similar_texts.one_of_each(docs).collect()]
+    assert sorted(kept, key=str) == sorted({least for _, least in expected}, key=str)
+
+
+def test_linked_sets_are_all_found():
+    r = np.random.default_rng(12)
+    for _ in range(60):
+        core = r.choice(10**6, int(r.integers(1, 60)), replace=False)
+        sets = [np.unique(np.concatenate((r.choice(core, int(r.integers(1, len(core) + 1)), replace=False), r.choice(10**6, int(r.integers(0, 8)))))).astype(np.uint64) for _ in range(40)]
+        pairs = [(a, b) for b in range(40) for a in range(b) if len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.8]
+        assert components(40, similar_texts.linked(sets, 0.8)) == components(40, pairs)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, 500 + i) for i in range(1, 60)] + [(7, 7), (900, 901), (901, 900)]
     found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}

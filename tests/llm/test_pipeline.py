@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from ctxspark.llm import bpe, mixing, substring
-from tests.llm.test_operators import WORD, counts_by_force, simhash_by_force
+from tests.llm.test_operators import WORD, alike_by_force, counts_by_force
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -61,7 +61,7 @@ def cut(rows, window=substring.WINDOW):
 def expected(spark):
     rows = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows = [r for r, no in zip(rows, rejected(rows)) if not no]
-    kept = {i for i, _, least in simhash_by_force([(r["doc_id"], r["text"]) for r in rows]) if i == least}
+    kept = {i for i, least in alike_by_force([(r["doc_id"], r["text"]) for r in rows]) if i == least}
     return list(cut([r for r in rows if r["doc_id"] in kept]))
 
 
