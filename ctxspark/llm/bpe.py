@@ -31,7 +31,7 @@ MAX_STATES = 200_000
 MAX_STEPS = 500_000
 MAX_PAIRS = 300_000
 MAX_PIECES = 300_000
-MAX_UNITS = 250_000
+MAX_UNITS = 200_000
 #: Bytes after which a long piece's settled tokens are sent.
 LOOK = 4096
 #: Pieces that a worker keeps from one task to the next: those met first, which are the common ones.
@@ -293,7 +293,7 @@ class Codec:
 
     def trim(self) -> None:
         """Give memory back at the end of a task; workers outlive their tasks."""
-        for kept, most in ((self.pieces, KEPT_PIECES), (self.units or {}, KEPT_PIECES)):
+        for kept, most in ((self.pieces, KEPT_PIECES), (self.units or {}, KEPT_PIECES // 4)):
             if len(kept) > most:
                 first = list(islice(kept.items(), most))
                 kept.clear()

@@ -13,7 +13,7 @@
 
 Defined results: null, zero, and non-finite vectors and those with null components link with nothing; vectors of different lengths
 neither; repeated rows link with one another like other equal vectors; a null vec_id has its group's least id; an empty table gives
-an empty result; other columns are ignored. A vector's identity is its XXH64.
+an empty result; other columns are ignored. A vector's identity is its XXH64: of n different vectors, two share one by a chance of n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -264,9 +264,11 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, vec_id: str =
     roots = common.components(told.where("edge = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
     rooted = nodes.select("node", "n", "least").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
     rooted = rooted.select("node", "n", "least", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy(F.col("root").alias("top")).agg(F.min("least").alias("component_id"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # a renewed key, so that a class with very many vectors may be split
+    least = least.select(F.col("root").bitwiseXOR(F.lit(1)).alias("top"), "component_id")
     known = (
-        rooted.join(least, F.col("root") == F.col("top"))
+        rooted.join(least, F.col("root").bitwiseXOR(F.lit(1)) == F.col("top"))
         .join(links, F.col("node") == F.col("linked"), "left")
         .select(F.col("node").bitwiseXOR(F.lit(1)).alias("at"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "component_id")
     )

@@ -24,6 +24,8 @@ from ctxspark.llm import common
 SEED = 42
 #: Rows of a shard from which it is cut by further bits.
 SHARD_ROWS = 4096
+#: Radius up to which a BK-tree's edges leave out enough of it.
+TREE_RADIUS = 8
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -115,7 +117,7 @@ def tree_links(values: list[int], radius: int, links) -> None:
     """Join all distinct values within the radius.
 
     Insertion compares a value with its ancestors and joins what is near, which settles most of a dense cluster. Of a
-    link still open, one end is outside the largest component, so only what is outside it searches the tree.
+    link still open, one end is outside the largest component, so only what is outside it searches.
     """
     tree = BKTree(values, lambda x, y, distance: distance <= radius and links.join(x, y))
     sizes: dict[int, int] = {}
@@ -123,10 +125,18 @@ def tree_links(values: list[int], radius: int, links) -> None:
     for root in roots:
         sizes[root] = sizes.get(root, 0) + 1
     largest = max(sizes, key=sizes.get)
-    for value, root in zip(values, roots):
-        if root != largest:
+    outside = [value for value, root in zip(values, roots) if root != largest]
+    if radius <= TREE_RADIUS:
+        for value in outside:
             for j in tree.within(value, radius):
                 links.join(value, values[j])
+    elif outside:  # a tree would visit nearly all its nodes: the same by counting bits of all
+        import numpy as np
+
+        every = np.array(values, np.uint64)
+        for value in outside:
+            for j in np.flatnonzero(np.bitwise_count(every ^ np.uint64(value)) <= radius).tolist():
+                links.join(value, values[j])
 
 
 def _blocks(bits: list[int], parts: int) -> list[list[int]]:

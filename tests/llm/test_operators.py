@@ -368,12 +368,40 @@ def test_shards(spark, small, hard, hard_docs):
         assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in found if r["doc_id"] is not None) == expected
 
 
+def test_shards_follow_from_the_ring(spark):
+    """Row by row: what an arc's owner has room for stays, by hash, and what is left over goes on clockwise."""
+    n, shards = 5000, 24
+    frame = spark.range(n).select(F.col("id").alias("doc_id"))
+    hashes = {r["doc_id"]: r["h"] % 2**64 for r in frame.withColumn("h", F.xxhash64("doc_id")).collect()}
+    nodes = sharding.ring(shards)
+    places = [p for p, _ in nodes]
+    arcs = collections.defaultdict(list)
+    for key, h in hashes.items():
+        arcs[bisect.bisect_left(places, h >> 48) % len(nodes)].append((h - 2**64 if h >= 2**63 else h, key))
+    room = [n // shards + (s < n % shards) for s in range(shards)]
+    expected, over = {}, []
+    for arc in sorted(arcs):
+        for _, key in sorted(arcs[arc]):
+            shard = nodes[arc][1]
+            if room[shard]:
+                room[shard] -= 1
+                expected[key] = shard
+            else:
+                over.append((arc, key))
+    for arc, key in over:
+        while not room[nodes[arc][1]]:
+            arc = (arc + 1) % len(nodes)
+        room[nodes[arc][1]] -= 1
+        expected[key] = nodes[arc][1]
+    assert {r["doc_id"]: r["shard"] for r in sharding.sharded(frame, ["doc_id"], shards).collect()} == expected
+
+
 def test_one_more_shard_moves_few(spark):
     rows = spark.range(20_000).select(F.col("id").alias("doc_id"))
     a = {r["doc_id"]: r["shard"] for r in sharding.sharded(rows, ["doc_id"], 24).collect()}
     b = {r["doc_id"]: r["shard"] for r in sharding.sharded(rows, ["doc_id"], 25, cell_rows=2).collect()}
     moved = sum(a[k] != b[k] for k in a) / len(a)
-    assert moved < 0.35, moved  # dealing out anew would move 96 %
+    assert moved < 0.1, moved  # 4 % have to move; dealing out anew would move 96 %
 
 
 # --- 7
@@ -403,9 +431,37 @@ def test_embedding_links(spark, save):
         least[root] = min(least.get(root, ids[i]), ids[i])
     expected = sorted((ids[i], count[i], least[roots[i]], ids[i] == least[roots[i]]) for i in range(n))
     found = sorted(tuple(r) for r in QUERIES["op7_rotated_codes"](spark, folder).collect())
-    missed = sum(e[1] for e in expected) - sum(f[1] for f in found)
-    assert 0 <= missed <= 1e-3 * len(links)  # recall of at least 0.999
-    assert missed or found == expected
+    assert found == expected
+
+
+@pytest.mark.parametrize("size, rank, n", [(2, 2, 2500), (3, 3, 3000), (64, 4, 3000)])
+def test_embedding_links_in_few_dimensions(spark, save, monkeypatch, size, rank, n):
+    """Many cells, and vectors between them: every link is found."""
+    monkeypatch.setattr(embedding_dedup, "CELL_VECTORS", 60)
+    r = np.random.default_rng(size)
+    x = (r.standard_normal((n, rank)) @ r.standard_normal((rank, size))).astype(np.float32)
+    folder = save([(i, v.tolist(), 0) for i, v in enumerate(x)], EMPTY[1][1], "embeddings")
+    unit = embedding_dedup.unit_of(x)
+    a, b = np.nonzero(unit @ unit.T >= 0.95)
+    links = [(int(i), int(j)) for i, j in zip(a, b) if i != j]
+    count, roots = collections.Counter(i for i, _ in links), components(n, links)
+    expected = [(i, count[i], roots[i], i == roots[i]) for i in range(n)]
+    assert sorted(tuple(r) for r in QUERIES["op7_rotated_codes"](spark, folder).collect()) == expected
+
+
+def test_embedding_links_match_sql(spark, save):
+    """The SQL on a table that has links."""
+    import duckdb
+
+    r = np.random.default_rng(14)
+    base = r.standard_normal((30, 8))
+    rows = [(i, (base[i % 30] + s * r.standard_normal(8)).tolist(), 0) for i, s in enumerate(np.repeat([0.0, 0.1, 0.3], 60))] + [(900, None, 0), (901, [0.0] * 8, 0)]
+    folder = save(rows, EMPTY[1][1], "embeddings")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    found = QUERIES["op7_rotated_codes"](spark, folder)
+    expected = sorted(con.sql(f"SELECT {', '.join(found.columns)} FROM ({embedding_dedup.OP7_SQL})").fetchall())
+    assert sorted(tuple(r) for r in found.collect()) == expected and sum(e[1] for e in expected) > 100
 
 
 def test_linked_vectors_meet_in_a_home():
@@ -452,6 +508,27 @@ def test_crf_gradient():
         assert (log_z(scores, up) - log_z(scores, moves)) / 1e-6 == pytest.approx(expected[i], abs=1e-4)
 
 
+def test_crf_scores_by_force(spark, small):
+    """The query's scores from all label sequences of the lines, on texts of few lines."""
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    field = crf_quality.train(docs.select("doc_id", "text"), labels.select("doc_id", F.col("quality").alias("label")), common.fold("doc_id", 4) != 2)
+    found = {r["doc_id"]: r["score"] for r in QUERIES["op8_line_crf"](spark, SF).collect()}
+    tried = 0
+    for doc_id, text in small:
+        own, weights = crf_quality.own_features(text.encode())
+        if len(own) > 9:
+            continue
+        rows = ((crf_quality.with_neighbours(own, np.array([len(own)])) - field.mean) / field.scale) @ field.weights
+        total, good = 0.0, np.zeros(len(own))
+        for y in np.ndindex(*[2] * len(own)):
+            p = math.exp(sum(np.clip(s, -30, 30) * v for s, v in zip(rows, y)) - sum(max(0, s) for s in np.clip(rows, -30, 30)) + sum(field.moves[a, b] for a, b in zip(y, y[1:])))
+            total += p
+            good += p * np.array(y)
+        assert found[doc_id] == pytest.approx(float((good / total * weights).sum() / weights.sum()), abs=1e-6)
+        tried += 1
+    assert tried > 50
+
+
 def test_crf_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -619,7 +696,8 @@ def test_similar_texts(spark, small, hard_docs, monkeypatch, small_blocks):
     """Near copies by edits on both sides of the limit, copies of copies, the smallest documents and hard rows, against all pairs."""
     if small_blocks:
         monkeypatch.setattr(similar_texts, "BLOCK_SHINGLES", 500)
-        monkeypatch.setattr(similar_texts.candidates, "__defaults__", (2,))
+        monkeypatch.setattr(similar_texts.candidates, "__defaults__", (20,))
+        monkeypatch.setattr(similar_texts, "LEADERS", 4)
         monkeypatch.setattr(similar_texts, "BROADCAST_TEXTS", 0)
     r = np.random.default_rng(11)
     rows = [(i + 10_000, t) for i, t in small] + [(x[0], x[1] or "") for x in hard_docs[0]]
