@@ -72,6 +72,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_past(spark: SparkSession) -> None:
+    """Let the driver's cleaner find the shuffles, broadcasts and checkpoints that nothing refers to any more; it only hears of them by a collection."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """df, cut, with a broadcast hint if it has at most so many rows; beyond that Spark deals it out."""
     df = cut(df)
@@ -79,9 +84,12 @@ def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges (u, ...) with the least (m) around u. The key is renewed, so that a hub with very many edges may be split."""
+    """edges (u, ...) with the least (m) around u. The key is renewed, so that a hub with very many edges may be split.
+
+    The hint keeps small rounds from being broadcast by way of the driver.
+    """
     key = F.col("u").bitwiseXOR(F.lit(1))
-    right = least.select(key.alias("w"), "m")
+    right = least.select(key.alias("w"), "m").hint("shuffle_hash")
     return edges.join(right, key == F.col("w"))
 
 
@@ -104,16 +112,35 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     )
 
 
+#: Distinct edges up to which one task finds the components: rounds of shuffles would cost more than they are worth.
+SMALL_EDGES = 1 << 17
+
+
+def _small_components(batches):
+    import pyarrow as pa
+
+    links = UnionFind()
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            links.join(u, v)
+    nodes = list(links.up.keys() | {links.find(x) for x in links.up})
+    for at in range(0, len(nodes), 4096):
+        part = nodes[at : at + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([links.find(x) for x in part], pa.int64())], names=["node", "root"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph of long ids by alternating large and small stars.
 
     edges has long columns u, v. Returns (node, root): every node of an edge, root being the least
-    node that it reaches. Each round is two group-bys and joins, and is checkpointed; no link list is
-    ever brought to the driver (it sees a count and a checksum a round).
+    node that it reaches. Up to `SMALL_EDGES` distinct edges go to one task. Beyond that each round is two group-bys and joins, and is
+    checkpointed; no link list is ever brought to the driver (it sees a count and a checksum a round).
     """
     current = cut(
         edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
+    if current.count() <= SMALL_EDGES:
+        return current.coalesce(1).mapInArrow(tidy(_small_components), "node long, root long")
     seen = None
     for _ in range(max_rounds):
         mark = current.agg(
@@ -123,6 +150,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         seen = (mark["n"], mark["s"])
         current = cut(_stars(_stars(current, small=False), small=True))
+        drop_past(edges.sparkSession)
     else:
         raise RuntimeError("components did not settle")
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -698,6 +698,7 @@ def test_similar_texts(spark, small, hard_docs, monkeypatch, small_blocks):
         monkeypatch.setattr(similar_texts, "BLOCK_SHINGLES", 500)
         monkeypatch.setattr(similar_texts.candidates, "__defaults__", (20,))
         monkeypatch.setattr(similar_texts, "LEADERS", 4)
+        monkeypatch.setattr(common, "SMALL_EDGES", 0)
         monkeypatch.setattr(similar_texts, "BROADCAST_TEXTS", 0)
     r = np.random.default_rng(11)
     rows = [(i + 10_000, t) for i, t in small] + [(x[0], x[1] or "") for x in hard_docs[0]]
@@ -729,7 +730,9 @@ def test_linked_sets_are_all_found():
         assert components(40, similar_texts.linked(sets, 0.8)) == components(40, pairs)
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("small", [0, 1 << 17])
+def test_components_of_paths_and_stars(spark, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL_EDGES", small)
     edges = [(i, i + 1) for i in range(100)] + [(500, 500 + i) for i in range(1, 60)] + [(7, 7), (900, 901), (901, 900)]
     found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {**{i: 0 for i in range(101)}, **{500 + i: 500 for i in range(60)}, 900: 900, 901: 900}
