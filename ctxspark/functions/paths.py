@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,13 @@ def resolved(base: Column, relative: Column) -> Column:
         lambda kept, p: F.when(p == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, p)),
     )
     return F.concat(F.lit("/"), F.array_join(folded, "/"))
+
+
+def ending_pairs(left: DataFrame, long: str, right: DataFrame, short: str) -> DataFrame:
+    """Rows of left and right where the string `long` ends with `short`, by an equal key: a short one with a slash shares the long one's last
+    segment, one without is an end of it. Column names of the two sides must differ."""
+    last = F.element_at(F.split(F.col(long), "/"), -1)
+    ends = F.transform(F.sequence(F.lit(1), F.length(last) + 1), lambda at: F.substr(last, at))
+    keyed = left.withColumn("__ends", F.explode(F.array_union(F.array(F.concat(F.lit("/"), last)), ends)))
+    key = F.when(F.col(short).contains("/"), F.concat(F.lit("/"), F.element_at(F.split(F.col(short), "/"), -1))).otherwise(F.col(short))
+    return keyed.join(right.withColumn("__end", key), (F.col("__ends") == F.col("__end")) & F.col(long).endswith(F.col(short))).drop("__ends", "__end")

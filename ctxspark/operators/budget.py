@@ -73,19 +73,18 @@ def pack_text(text: str | Column, budget: int) -> Column:
     """struct(text, tokens): the text, or its leading lines within the budget less the reserve, and a note of what is left out."""
     text = F.col(text) if isinstance(text, str) else text
     whole = estimate_tokens(text)
+    lines = F.split(text, "\n")
+    # lines are counted first and joined once, so that a long text isn't copied line by line
     folded = F.aggregate(
-        F.split(text, "\n"),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("kept"), F.lit(True).alias("open")),
+        lines,
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("kept"), F.lit(True).alias("open")),
         lambda a, line: F.when(
             a["open"] & (a["n"] + estimate_tokens(line) <= budget - TRUNCATION_RESERVE),
-            F.struct(
-                (a["n"] + estimate_tokens(line)).alias("n"),
-                F.when(a["kept"].isNull(), line).otherwise(F.concat(a["kept"], F.lit("\n"), line)).alias("kept"),
-                F.lit(True).alias("open"),
-            ),
+            F.struct((a["n"] + estimate_tokens(line)).alias("n"), (a["kept"] + 1).alias("kept"), F.lit(True).alias("open")),
         ).otherwise(F.struct(a["n"].alias("n"), a["kept"].alias("kept"), F.lit(False).alias("open"))),
     )
-    cut = F.concat(F.coalesce(folded["kept"], F.lit("")), F.lit("\n... (truncated, "), (whole - folded["n"]).cast("string"), F.lit(" tokens omitted)"))
+    head = F.array_join(F.slice(lines, F.lit(1), folded["kept"]), "\n")
+    cut = F.concat(head, F.lit("\n... (truncated, "), (whole - folded["n"]).cast("string"), F.lit(" tokens omitted)"))
     return F.when(whole <= budget, F.struct(text.alias("text"), whole.alias("tokens"))).otherwise(
         F.struct(cut.alias("text"), (folded["n"] + TRUNCATION_RESERVE).alias("tokens"))
     )

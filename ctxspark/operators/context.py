@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ctxspark.functions.paths import normalised
+from ctxspark.functions.paths import ending_pairs, normalised
 from ctxspark.functions.text import estimate_tokens, first_filled, quarter_tokens, short_path
 from ctxspark.operators import budget as packing
 from ctxspark.operators.graph import neighbours
@@ -99,11 +99,11 @@ def pack_auto(chunks: DataFrame, edges: DataFrame, found: DataFrame, file: str,
 
 
 def changed_chunks(chunks: DataFrame, changed: DataFrame) -> DataFrame:
-    """Chunks of changed files; paths match if one ends with the other. changed (path) is a diff's list: compared with distinct files only."""
+    """Chunks of changed files; paths match if one ends with the other. Only distinct files are compared, with changed (path) by equal keys."""
     files = chunks.select("file").distinct().withColumn("norm", normalised(F.col("file")))
-    path = normalised(F.col("path"))
-    hit = (F.col("norm") == path) | F.col("norm").endswith(path) | path.endswith(F.col("norm"))
-    return chunks.join(files.join(changed, hit).select("file").distinct(), "file", "left_semi")
+    paths = changed.select(normalised(F.col("path")).alias("changed_path")).distinct()
+    hit = ending_pairs(files, "norm", paths, "changed_path").select("file").union(ending_pairs(paths, "changed_path", files, "norm").select("file"))
+    return chunks.join(hit.distinct(), "file", "left_semi")
 
 
 def diff_dependencies(chunks: DataFrame, edges: DataFrame, changed: DataFrame, limit: int = DIFF_DEPENDENCIES) -> DataFrame:

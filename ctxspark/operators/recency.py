@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxspark.functions.paths import normalised
+from ctxspark.functions.paths import ending_pairs, normalised
 from ctxspark.functions.text import short_path
 
 DECAY_DAYS = 10.0
@@ -31,13 +31,15 @@ def recency(commits: DataFrame, now: str) -> DataFrame:
 def match_files(files: DataFrame, recent: DataFrame) -> DataFrame:
     """(file, recency): the first path in log order that the file ends with, or that ends with the file's last two segments.
 
-    Only distinct files are compared, and by the one thing both conditions share: paths that match end in the same file name
-    characters. The log is short by construction; a longer one than BROADCAST_PATHS is matched by equal last segments first.
+    Only distinct files are compared. A log of up to BROADCAST_PATHS paths is broadcast; a longer one is matched by equal keys.
     """
     own = files.select("file").distinct().withColumn("norm", normalised(F.col("file"))).withColumn("last2", short_path("norm"))
     hit = F.col("norm").endswith(F.col("path")) | F.col("path").endswith(F.col("last2"))
-    short = recent.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
-    joined = own.join(F.broadcast(recent), hit) if short else own.join(recent, hit)
+    if recent.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS:
+        joined = own.join(F.broadcast(recent), hit)
+    else:
+        columns = ["file", "recency", "commit_ord"]
+        joined = ending_pairs(own, "norm", recent, "path").select(columns).union(ending_pairs(recent, "path", own, "last2").select(columns))
     return joined.groupBy("file").agg(F.min_by("recency", "commit_ord").alias("recency"))
 
 

@@ -128,3 +128,23 @@ def test_chunks_keep_comments_and_hashes():
 def test_broken_sources_end():
     for text in ("function f( {", "class A { x(", "const a = `", "/* ", "'", "}}}", "export", "class {", "\\", "const = ;"):
         chunker.chunks_of("a.ts", text)
+
+
+def test_paths_by_equal_keys(spark, monkeypatch):
+    """A long log gives what a broadcast one gives; changed files are those whose path ends with the other's."""
+    import random
+
+    from ctxspark.operators import context, recency
+
+    r = random.Random(3)
+    name = lambda n: "/".join(r.choice(["a", "ba", "c.ts", "xc.ts", "d"]) for _ in range(n))
+    files = sorted({name(r.randint(1, 4)) for _ in range(120)})
+    log = [(name(r.randint(1, 4)), i, i / 100) for i in range(60)]
+    frame = spark.createDataFrame([(f,) for f in files], "file string")
+    recent = spark.createDataFrame(log, "path string, commit_ord int, recency double")
+    expected = sorted(tuple(x) for x in recency.match_files(frame, recent).collect())
+    monkeypatch.setattr(recency, "BROADCAST_PATHS", 0)
+    assert sorted(tuple(x) for x in recency.match_files(frame, recent).collect()) == expected
+    changed = [p for p, _, _ in log[:5]]
+    found = {x["file"] for x in context.changed_chunks(frame, spark.createDataFrame([(p,) for p in changed], "path string")).collect()}
+    assert found == {f for f in files if any(f.endswith(p) or p.endswith(f) for p in changed)}
