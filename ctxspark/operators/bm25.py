@@ -47,14 +47,26 @@ def bm25(terms: list[str], stats: dict, tokens: str = "tokens") -> Column:
     return total
 
 
+def term_counts(tokens: str = "tokens") -> Column:
+    """Array of (term, tf) of one document: its sorted tokens are cut where the term changes, so nothing is shuffled."""
+
+    def counted(found: Column) -> Column:
+        last = F.size(found)
+        at = F.sequence(F.lit(1), last)
+        starts = F.filter(at, lambda i: (i == 1) | (F.get(found, i - 1) != F.get(found, i - 2)))
+        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(last + 1))
+        return F.zip_with(starts, ends, lambda i, j: F.struct(F.get(found, i - 1).alias("term"), (j - i).cast("long").alias("tf")))
+
+    nothing = F.array().cast("array<struct<term:string,tf:bigint>>")
+    # a transform over one element binds the sorted array once
+    cut = F.get(F.transform(F.array(F.array_sort(tokens)), counted), 0)
+    return F.when(F.size(tokens) > 0, cut).otherwise(nothing)
+
+
 def postings(docs: DataFrame, doc_id: str = "id", tokens: str = "tokens") -> DataFrame:
-    """(term, id, tf, dl): the index form, for stores that are partitioned by term."""
-    return (
-        docs.select(doc_id, F.size(tokens).alias("dl"), F.explode(tokens).alias("term"))
-        .groupBy("term", doc_id, "dl")
-        .agg(F.count("*").alias("tf"))
-        .select("term", doc_id, "tf", "dl")
-    )
+    """(term, id, tf, dl): the index form, for stores that are partitioned by term. One row of docs is one document."""
+    counted = docs.select(doc_id, F.size(tokens).alias("dl"), F.explode(term_counts(tokens)).alias("p"))
+    return counted.select(F.col("p.term").alias("term"), doc_id, F.col("p.tf").alias("tf"), "dl")
 
 
 def bm25_postings(posted: DataFrame, terms: list[str], n: int, mean: float, doc_id: str = "id") -> DataFrame:

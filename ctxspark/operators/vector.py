@@ -30,11 +30,12 @@ def search_all(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024
     """Top k of all vectors for each query: query_id, key, score.
 
     The queries are taken in blocks of bounded size; a block is broadcast, and each task keeps only its best k per query before
-    anything is shuffled.
+    anything is shuffled. Queries without a key are left out; a cosine that isn't defined counts as 0.
     """
     import numpy as np
 
     spark = vectors.sparkSession
+    queries = queries.where(F.col(key).isNotNull())
     total = queries.count()
     parts = max(1, -(-total // block))
     found = None
@@ -54,20 +55,32 @@ def _best(held, k: int, key: str, embedding: str):
         import pandas as pd
 
         ids, queries = held.value
+        ids = np.array(ids, np.int64)
+        by_size: dict[int, list[int]] = {}
+        for i, q in enumerate(queries):
+            by_size.setdefault(len(q), []).append(i)
+        by_size.pop(0, None)
+        stacked = {size: np.stack([queries[i] for i in own]) for size, own in by_size.items()}
         kept: pd.DataFrame | None = None
         for frame in frames:
             vectors = [np.array(v if v is not None else [], np.float64) for v in frame[embedding]]
             sizes = np.array([len(v) for v in vectors])
-            out = []
-            for query, q in zip(ids, queries):
-                scores = np.zeros(len(vectors))
-                same = np.flatnonzero((sizes == len(q)) & (len(q) > 0))
+            keys = frame[key].to_numpy()
+            scores = np.zeros((len(ids), len(vectors)))
+            for size, q in stacked.items():
+                same = np.flatnonzero(sizes == size)
                 if len(same):
                     x = np.stack([vectors[i] for i in same])
-                    norm = np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum())
-                    scores[same] = np.divide(x @ q, norm, out=np.zeros(len(same)), where=norm > 0)
-                out.append(pd.DataFrame({"query_id": query, key: frame[key], "score": scores}))
-            both = pd.concat(out if kept is None else [kept, *out])
+                    norm = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+                    with np.errstate(invalid="ignore", over="ignore"):
+                        scores[np.ix_(by_size[size], same)] = np.nan_to_num(np.divide(q @ x.T, norm, out=np.zeros(norm.shape), where=norm > 0), nan=0.0)
+            if len(vectors) > k:  # all scores that reach the k-th best, ties too
+                least = np.partition(scores, len(vectors) - k, axis=1)[:, len(vectors) - k]
+                row, column = np.nonzero(scores >= least[:, None])
+            else:
+                row, column = (x.ravel() for x in np.indices(scores.shape))
+            own = pd.DataFrame({"query_id": ids[row], key: keys[column], "score": scores[row, column]})
+            both = own if kept is None else pd.concat([kept, own])
             kept = both.sort_values(["score", key], ascending=[False, True]).groupby("query_id").head(k)
         if kept is not None:
             yield kept

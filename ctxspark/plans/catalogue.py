@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +14,7 @@ from ctxspark.operators import budget, chunker, context, graph, hybrid, recency,
 from ctxspark.plans import adapters as ad
 from ctxspark.plans import sql
 from ctxspark.plans.adapters import FILE, NOW, QUERY, table
+from ctxspark.session import ensure_checkpoint_dir
 from ctxspark.sources import files as scanning
 from ctxspark.sources import store
 from ctxspark.sources.store import Store
@@ -58,8 +57,8 @@ def _list(rows: list) -> str:
 
 @query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql.tokens('text')}) AS term FROM documents) GROUP BY ALL")
 def tokenize_tf(spark, d):
-    own = ad.tokens(spark, d)
-    return own.select(F.col("id").alias("doc_id"), F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    own = bm.postings(ad.tokens(spark, d))
+    return own.select(F.col("id").alias("doc_id"), "term", "tf")
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({sql.tokens('text')}) AS term FROM documents) GROUP BY term")
@@ -516,8 +515,7 @@ def content_hash_dups(spark, d):
 
 
 def _scratch(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "ctxspark")
-    return f"{base}/{uuid.uuid4().hex}"
+    return f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @query(f"SELECT * FROM ({NEW}) UNION ALL SELECT * FROM ({OLD}) WHERE path NOT IN (SELECT path FROM ({NEW}))")

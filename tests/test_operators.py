@@ -84,6 +84,21 @@ def test_search_all_in_blocks(spark):
     assert sorted(map(key, whole)) == sorted(map(key, parts)) and len(whole) == 100
 
 
+def test_search_all_hard_rows(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [float("inf"), 1.0]), (5, [float("nan"), 1.0]), (6, []), (None, [1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = vector.search_all(vectors.where("vec_id = 1 or vec_id is null"), vectors.where("vec_id is not null"), 3).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found) == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 0.0)]
+
+
+def test_term_counts_are_counts(spark):
+    r = random.Random(4)
+    rows = [(i, [r.choice("abcdefg") for _ in range(r.randint(0, 30))]) for i in range(40)] + [(40, []), (41, None), (42, ["x"])]
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>")
+    found = {(p["id"], p["term"]): (p["tf"], p["dl"]) for p in bm25.postings(docs).collect()}
+    assert found == {(i, t): (tokens.count(t), len(tokens)) for i, tokens in rows for t in tokens or []}
+
+
 def test_prefix_is_the_loop(spark):
     r = random.Random(5)
     costs = [(i, r.randint(1, 30)) for i in range(40)]
