@@ -1,8 +1,8 @@
-"""The ten operators' queries over whole tables, and SQL where it can express them."""
+"""The twelve operators' queries over whole tables, and SQL where it can express them."""
 
 from __future__ import annotations
 
-from ctxspark.llm import bloom_lm, bpe, crf_quality, embedding_dedup, mixing, quality_rules, sharding, simhash, substring, word_pieces
+from ctxspark.llm import bloom_lm, bpe, crf_quality, embedding_dedup, mixing, quality_rules, sharding, simhash, substring, token_file, word_pieces
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_line_crf": crf_quality.op8_line_crf,
         "op9_bloom_lm": bloom_lm.op9_bloom_lm,
         "op10_simhash_bktree": simhash.op10_simhash_bktree,
+        "op11_huffman_ids": token_file.op11_huffman_ids,
     }
 
 
