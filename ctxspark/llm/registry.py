@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxspark.llm import bloom_lm, bpe, crf_quality, embedding_dedup, mixing, quality_rules, sharding, simhash, substring, token_file, word_pieces
+from ctxspark.llm import bloom_lm, bpe, crf_quality, divergence, embedding_dedup, mixing, quality_rules, sharding, simhash, substring, token_file, word_pieces
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_bloom_lm": bloom_lm.op9_bloom_lm,
         "op10_simhash_bktree": simhash.op10_simhash_bktree,
         "op11_huffman_ids": token_file.op11_huffman_ids,
+        "op12_source_divergence": divergence.op12_source_divergence,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_temperature_mixing": mixing.OP3_SQL,
         "op5_host_rules": quality_rules.OP5_SQL,
         "op7_rotated_codes": embedding_dedup.OP7_SQL,
+        "op12_source_divergence": divergence.OP12_SQL,
     }
