@@ -11,8 +11,9 @@ block's checkpoints at once, by one look-up of the next `limit` bits in a table
 
 No more than `vocabulary` counts come to the driver, and one row per file when reading. Lengths of at most `limit` bits come from package-merge.
 
-Words between ASCII white space are encoded once each and kept: neither the normaliser nor the splitting pattern of the vocabulary looks
-across white space, so the ids of a text are those of its words (tested against whole texts).
+Texts are cut at ASCII white space and where runs of ASCII letters end, and the library encodes each distinct piece once: neither the
+normaliser nor the splitting pattern of the vocabulary looks across such places, so the ids of a text are those of its pieces (tested against
+whole texts).
 
 Defined results: null text is empty and has the end id alone; null doc_id comes first; rows with equal doc_id are ordered by number of ids, then by
 checksum, and each has its own place; a very long text is one block of its own; bytes that are no UTF-8 count as U+FFFD; strings of special
@@ -21,6 +22,7 @@ tokens in a text are ordinary text; an empty table gives files without blocks an
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import lru_cache
 from itertools import accumulate
@@ -35,8 +37,8 @@ BLOCK_TOKENS = 1 << 16
 STRIDE = 256
 #: Ids a file should have at most, and at least where the session's shuffle partitions allow so many files.
 FILE_TOKENS = (1 << 18, 1 << 26)
-#: Words and ids that a worker keeps before its table starts anew.
-MAX_WORDS, MAX_POOL = 300_000, 4_000_000
+#: Pieces and ids that a worker keeps before its table starts anew.
+MAX_PIECES, MAX_POOL = 1_000_000, 8_000_000
 
 ENCODED = "doc_id long, n_tokens long, ids binary"
 BLOCKS = "file int, block int, first long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, offsets array<long>, bits binary"
@@ -46,8 +48,27 @@ DECODED = "file int, doc_id long, start_in_file long, n_tokens long, ids binary"
 # --- texts to ids
 
 
+#: The splitting pattern under which texts may be cut within words; for other vocabularies only white space cuts.
+SPLITTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Kinds of bytes: other ASCII, letters A-Z and a-z, white space, not ASCII.
+OTHER, LETTER, SPACE, WIDE = range(4)
+
+
+@lru_cache(maxsize=1)
+def _bytes():
+    """Each byte's kind and its lower case."""
+    import numpy as np
+
+    kinds, lower = np.full(256, WIDE, np.uint8), np.arange(256, dtype=np.uint8)
+    kinds[:128] = OTHER
+    kinds[[32, *range(9, 14)]] = SPACE
+    kinds[[*range(65, 91), *range(97, 123)]] = LETTER
+    lower[65:91] += 32
+    return kinds, lower
+
+
 class Encoder:
-    """Texts to ids by the tokenizers library, each distinct word once."""
+    """Texts to ids by the tokenizers library, each distinct piece of a word once."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -59,7 +80,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        form = json.loads(self.tokenizer.to_str())
+        suffix = form["model"].get("end_of_word_suffix")
+        self.cut = bool(suffix) and SPLITTING in json.dumps(form["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
+        self.last = np.zeros(size, bool)
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -68,37 +96,64 @@ class Encoder:
         self.known: dict[bytes, int] = {}
         self.ends, self.pool = np.zeros(1, np.int64), np.zeros(0, self.kind)
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         import numpy as np
 
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        own = [x.ids for x in found]
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in own], dtype=np.int64)])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in own for i in x), self.kind)])
+        run = lambda texts: [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # letters make one word each, whose last id says so; they go through the library many at once
+        plain = [p for p in pieces if self.cut and p.isalpha()]
+        found = []
+        for at in range(0, len(plain), 1024):
+            part = plain[at : at + 1024]
+            ids = np.array(run([b" ".join(part).decode()])[0], self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("a word without a last id")
+            found.append((ids, np.diff(ends, prepend=0)))
+        others = [p for p in pieces if not (self.cut and p.isalpha())]
+        own = run([p.decode("utf-8", "replace") for p in others])
+        found.append((np.array([i for x in own for i in x], self.kind), np.array([len(x) for x in own], np.int64)))
+        self.known.update(zip(plain + others, range(len(self.known), len(self.known) + len(pieces))))
+        self.pool = np.concatenate([self.pool, *(ids for ids, _ in found)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([n for _, n in found]))])
 
     def encode(self, texts):
         """(ids of all texts, one behind the other, and each text's end), the end id after each text. texts: an Arrow string array."""
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        if len(self.known) > MAX_WORDS or len(self.pool) > MAX_POOL:
+        if len(self.known) > MAX_PIECES or len(self.pool) > MAX_POOL:
             self.clear()
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
-        words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
-        new = [w for w in distinct if w not in self.known]
-        for at in range(0, len(new), 8192):
-            self._learn(new[at : at + 8192])
+        texts = texts.fill_null("").cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if offsets[-1] == offsets[0]:
+            return np.full(len(texts), END, self.kind), np.arange(1, len(texts) + 1)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        kinds, lower = _bytes()
+        kind = kinds[data]
+        before, after = kind[:-1], kind[1:]
+        cut = (before == SPACE) | (after == SPACE)
+        if self.cut:
+            # letters end and begin there, whatever stands around them; but what follows an apostrophe may belong to it
+            cut |= (before + after == OTHER + LETTER) & (data[:-1] != ord("'"))
+        begins = np.concatenate([[True], cut & (before != after)])
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        begins = np.flatnonzero(begins)
+        # a letter before a byte that is no ASCII may be composed with it first
+        plain = np.where(np.concatenate([after == WIDE, [False]]), data, lower[data])
+        bounds = np.append(begins, len(data))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(bounds), pa.py_buffer(plain)]).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        new = [x for x in distinct if x not in self.known]
+        if new:
+            self._learn(new)
         place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        begin, size = self.ends[place], self.ends[place + 1] - self.ends[place]
-        each = words.indices.to_numpy(zero_copy_only=False)
-        n = size[each]
+        each = pieces.indices.to_numpy()
+        n = (self.ends[place + 1] - self.ends[place])[each]
         upto = np.concatenate([[0], np.cumsum(n)])
-        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-        ids = self.pool[np.repeat(begin[each] - upto[:-1], n) + np.arange(upto[-1])]
-        ends = upto[bounds[1:]]
+        ids = self.pool[np.repeat(self.ends[place][each] - upto[:-1], n) + np.arange(upto[-1])]
+        ends = upto[np.searchsorted(begins, offsets[1:])]
         return np.insert(ids, ends, END), ends + np.arange(1, len(ends) + 1)
 
 
