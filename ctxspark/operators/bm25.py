@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ctxspark.session import ensure_checkpoint_dir
+
 K1, B = 1.2, 0.75
 
 
@@ -79,3 +81,35 @@ def bm25_postings(posted: DataFrame, terms: list[str], n: int, mean: float, doc_
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * (F.col("dl") / F.lit(mean))))
     return hits.join(df, "term").groupBy(doc_id).agg(F.sum(F.col("times") * idf * norm).alias("score"))
+
+
+#: Rows up to which a table is sent to every task; beyond that Spark deals both sides of the join.
+BROADCAST_ROWS = 1_000_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """df for a broadcast if it is small enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def top_documents(docs: DataFrame, questions: DataFrame, k: int, doc_id: str = "id", question_id: str = "question", tokens: str = "tokens") -> DataFrame:
+    """(question, id, score, rank): the k best documents of each of many questions; scores equal to nine places go by id.
+
+    docs: one row per document, id and tokens; questions: one row each, question and tokens. Only postings of terms that some question has are kept. What
+    is shuffled is one partial score per task, question and document, then k rows per task and question.
+    """
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    asked = questions.select(F.col(question_id).alias("question"), F.explode(tokens).alias("term")).groupBy("question", "term").agg(F.count("*").alias("times"))
+    asked = asked.checkpoint()
+    terms = asked.select("term").distinct()
+    row = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("mean")).first()
+    n, mean = row["n"], row["mean"] or 1.0
+    hits = postings(docs, doc_id, tokens).join(sent(terms), "term", "left_semi").checkpoint()
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * (F.col("dl") / F.lit(mean))))
+    weighted = asked.join(sent(df.checkpoint()), "term").select("question", "term", (F.col("times") * idf).alias("weight"))
+    scored = hits.join(sent(weighted), "term").groupBy("question", F.col(doc_id).alias("id")).agg(F.sum(F.col("weight") * norm).alias("score"))
+    order = Window.partitionBy("question").orderBy(F.desc(F.round("score", 9)), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -24,6 +24,7 @@ def test_imports_without_optional_parts(tmp_path):
     """A copy without the subpackage and the pipeline still imports and lists the other queries."""
     copy = tmp_path / "copy"
     shutil.copytree(os.path.join(ROOT, "ctxspark"), copy / "ctxspark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(os.path.join(ROOT, "jobs"), copy / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), copy)
     script = "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_search' in q and not any(n.startswith('op1') for n in q); print(len(q))"
     done = subprocess.run([sys.executable, "-c", script], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
