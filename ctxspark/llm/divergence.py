@@ -31,9 +31,9 @@ from ctxspark.llm import common
 SCALE = 1_000_000_000
 MIN_DOCS = 10
 TOP = 10
-MEMORY = "400MB"
+MEMORY = "250MB"
 #: Rows of sums after which a task passes on what it has.
-MAX_SUMS = 2_000_000
+MAX_SUMS = 1_000_000
 #: Groups of lang and source up to which their totals are broadcast.
 BROADCAST_GROUPS = 100_000
 
@@ -127,6 +127,7 @@ def _sum_texts(batches):
                     yield from _rows(con, "FROM less", SUMS)
                 else:
                     con.execute("INSERT INTO part FROM less")
+                con.execute("DROP TABLE less")
         yield from _rows(con, grouped, SUMS)
 
 
@@ -225,9 +226,10 @@ def audit(counts: DataFrame, top: int = TOP) -> DataFrame:
     turn = lambda df: df.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
     pairs = missing.union(one_sided).union(turn(one_sided)).union(shared).union(turn(shared))
     pairs = pairs.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).withColumn("part", F.lit("pair"))
-    both = found.where("part = 'term'").unionByName(pairs)
-    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
-    return ranked.where(F.expr(f"part = 'pair' or rank <= {top}")).select("lang", "source", "part", "item", "value", "rank")
+    ranked = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    # ranked apart, so that what is beyond the top is left out before the shuffle
+    terms = found.where("part = 'term'").withColumn("rank", ranked).where(F.col("rank") <= top)
+    return terms.unionByName(pairs.withColumn("rank", ranked)).select("lang", "source", "part", "item", "value", "rank")
 
 
 def op12_source_divergence(spark, sf_dir: str) -> DataFrame:
