@@ -23,32 +23,46 @@ def _tf(tokens: str, term: str) -> Column:
     return F.size(F.filter(F.col(tokens), lambda x: x == term))
 
 
-def statistics(docs: DataFrame, terms: list[str], tokens: str = "tokens") -> dict:
+def frequencies(terms: list[str], tokens: str = "tokens") -> list[Column]:
+    """tf0, tf1, ... of the query's distinct terms: all that scoring needs of a text, besides its length."""
+    return [_tf(tokens, t).alias(f"tf{i}") for i, t in enumerate(dict.fromkeys(terms))]
+
+
+def statistics_of_counts(counted: DataFrame, terms: list[str], length: str = "dl") -> dict:
     """Number of documents, mean length (documents without tokens count) and each term's document frequency."""
     unique = list(dict.fromkeys(terms))
-    row = docs.agg(
-        F.count("*").alias("n"),
-        F.sum(F.size(tokens)).alias("length"),
-        *[F.count_if(F.array_contains(F.col(tokens), t)).alias(f"df{i}") for i, t in enumerate(unique)],
+    row = counted.agg(
+        F.count("*").alias("n"), F.sum(length).alias("length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(unique))]
     ).first()
     return {"n": row["n"], "mean": (row["length"] or 0) / (row["n"] or 1), "df": {t: row[f"df{i}"] for i, t in enumerate(unique)}}
 
 
-def bm25(terms: list[str], stats: dict, tokens: str = "tokens") -> Column:
-    """Score of a document; a term that the query has twice counts twice."""
+def statistics(docs: DataFrame, terms: list[str], tokens: str = "tokens") -> dict:
+    """The same from tokens."""
+    return statistics_of_counts(docs.select(F.size(tokens).alias("dl"), *frequencies(terms, tokens)), terms)
+
+
+def bm25_of_counts(terms: list[str], stats: dict, length: str | Column = "dl", counts: dict | None = None) -> Column:
+    """Score of a document; a term that the query has twice counts twice. counts: a term's frequency, if not a column tf0, tf1, ..."""
     n, mean = stats["n"], stats["mean"] or 1.0
-    length = F.size(tokens).cast("double")
+    length = (F.col(length) if isinstance(length, str) else length).cast("double")
+    counts = counts or {t: F.col(f"tf{i}") for i, t in enumerate(dict.fromkeys(terms))}
     total: Column = F.lit(0.0)
     for term in terms:
         df = stats["df"][term]
         if not df:
             continue
         idf = math.log((n - df + 0.5) / (df + 0.5) + 1)
-        tf = _tf(tokens, term).cast("double")
+        tf = counts[term].cast("double")
         total = total + F.when(tf > 0, F.lit(idf) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * (length / mean)))).otherwise(0.0)
     return total
 
 
+def bm25(terms: list[str], stats: dict, tokens: str = "tokens") -> Column:
+    """The same from tokens."""
+    return bm25_of_counts(terms, stats, F.size(tokens), {t: _tf(tokens, t) for t in terms})
+
+
 def term_counts(tokens: str = "tokens") -> Column:
     """Array of (term, tf) of one document: its sorted tokens are cut where the term changes, so nothing is shuffled."""
 

@@ -282,18 +282,40 @@ def chunks_of(path: str, text: str) -> list[tuple]:
     return [(path, i, f"{path}#{n}", k, n, c, hashlib.md5(c.encode()).hexdigest()) for i, (k, n, c) in enumerate(rows)]
 
 
-def _chunker(frames):
-    import pandas as pd
-
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for frame in frames:
-        rows = [row for path, code in zip(frame["path"], frame["code"]) if code is not None for row in chunks_of(path, code)]
-        yield pd.DataFrame(rows, columns=names)
+def _chunker(failures: bool, cut=chunks_of):
+    def run(frames):
+        import pandas as pd
+
+        names = [x.split()[0] for x in SCHEMA.split(", ")] + ["error"] * failures
+        for frame in frames:
+            rows = []
+            for path, code in zip(frame["path"], frame["code"]):
+                if code is None:
+                    continue
+                try:
+                    found = cut(path, code)
+                except Exception as error:
+                    if not failures:
+                        raise
+                    rows.append((path, -1, None, None, None, None, None, f"{type(error).__name__}: {error}"))
+                else:
+                    rows += [(*row, None) for row in found] if failures else found
+            yield pd.DataFrame(rows, columns=names)
+
+    return run
 
 
 def extract(sources: DataFrame) -> DataFrame:
     """sources (path, code) -> all declarations in order of extraction (`ord`)."""
-    return sources.select("path", "code").mapInPandas(_chunker, SCHEMA)
+    return sources.select("path", "code").mapInPandas(_chunker(False), SCHEMA)
+
+
+def extract_or_error(sources: DataFrame, cut=chunks_of) -> DataFrame:
+    """The same with `error`; a file that can't be cut has one row, with its path and error alone, and the others go on.
+
+    cut: another (path, text) -> rows of SCHEMA, for other languages.
+    """
+    return sources.select("path", "code").mapInPandas(_chunker(True, cut), SCHEMA + ", error string")
 
 
 def last_wins(chunks: DataFrame) -> DataFrame:

@@ -30,30 +30,33 @@ def corpus_text():
 
 def scored(
     chunks: DataFrame, query: str, embeddings: DataFrame | None = None, query_vector=None, ranks: DataFrame | None = None,
-    recent: DataFrame | None = None, weights: Weights = Weights(), terms: list[str] | None = None,
+    recent: DataFrame | None = None, weights: Weights = Weights(), terms: list[str] | None = None, lexical: DataFrame | None = None,
 ) -> DataFrame:
     """All chunks with their parts and score; no filter, no order.
 
-    chunks: id, file, name, signature, summary (or tokens, if the index holds them); embeddings: chunk_id, vector;
-    ranks: file, rank; recent: file, recency.
+    chunks: id, file, name, signature, summary (or tokens); embeddings: chunk_id, vector; ranks: file, rank; recent: file, recency;
+    lexical: id, score (BM25 of the documents that have one), from stored postings; without it, texts are read.
     """
     if terms is None:
         terms = bm.query_tokens(chunks.sparkSession, query)
-    own = chunks if "tokens" in chunks.columns else chunks.withColumn("tokens", tokenize(corpus_text()))
-    stats = bm.statistics(own, terms)
-    own = own.withColumn("bm25", bm.bm25(terms, stats))
-    top = own.agg(F.max("bm25")).first()[0] or 0.0
-    parts = own.select(
-        "id", "file", "name", "signature", (F.col("bm25") / max(top, FLOOR)).alias("bm25"), name_matches("name", terms).alias("matches")
-    )
+    if lexical is None:
+        own = chunks if "tokens" in chunks.columns else chunks.withColumn("tokens", tokenize(corpus_text()))
+        # tokens are made once: statistics, greatest score and result all come from what is left of them
+        own = own.select("id", "file", "name", "signature", F.size("tokens").alias("dl"), *bm.frequencies(terms)).checkpoint()
+        stats = bm.statistics_of_counts(own, terms)
+        own = own.withColumn("bm25", bm.bm25_of_counts(terms, stats))
+    else:
+        own = chunks.join(lexical.select("id", "score"), "id", "left").withColumn("bm25", F.coalesce("score", F.lit(0.0)))
+    top = F.broadcast((own if lexical is None else lexical.withColumnRenamed("score", "bm25")).agg(F.greatest(F.max("bm25"), F.lit(FLOOR)).alias("top")))  # one row
+    parts = own.join(top).select("id", "file", "name", "signature", (F.col("bm25") / F.col("top")).alias("bm25"), name_matches("name", terms).alias("matches"))
     if embeddings is not None and query_vector is not None:
         similar = embeddings.select(F.col("chunk_id"), cosine(F.col("vector"), literal_vector(query_vector)).alias("cosine"))
         parts = parts.join(similar, F.col("id") == F.col("chunk_id"), "left").drop("chunk_id")
     else:
         parts = parts.withColumn("cosine", F.lit(None).cast("double"))
     if ranks is not None:
-        most = ranks.agg(F.max("rank")).first()[0] or 0.0
-        shares = ranks.select(F.col("file").alias("ranked"), (F.col("rank") / max(most, FLOOR)).alias("page_rank"))
+        most = F.broadcast(ranks.agg(F.greatest(F.max("rank"), F.lit(FLOOR)).alias("most")))  # one row
+        shares = ranks.join(most).select(F.col("file").alias("ranked"), (F.col("rank") / F.col("most")).alias("page_rank"))
         parts = parts.join(shares, F.col("file") == F.col("ranked"), "left").drop("ranked")
     else:
         parts = parts.withColumn("page_rank", F.lit(None).cast("double"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ctxspark.functions import text as tx
 from ctxspark.functions.signature import signature
 from ctxspark.operators import bm25 as bm
-from ctxspark.operators import budget, chunker, context, graph, hybrid, recency, report, vector
+from ctxspark.operators import budget, chunker, context, graph, hybrid, maintained, postings, recency, report, vector
 from ctxspark.plans import adapters as ad
 from ctxspark.plans import sql
 from ctxspark.plans.adapters import FILE, NOW, QUERY, table
@@ -18,6 +18,7 @@ from ctxspark.session import ensure_checkpoint_dir
 from ctxspark.sources import files as scanning
 from ctxspark.sources import store
 from ctxspark.sources.store import Store
+from ctxspark.sources.versions import Commit, Versions
 from ctxspark.streaming import incremental
 
 _QUERIES: dict = {}
@@ -105,6 +106,23 @@ def bm25_postings(spark, d):
     return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@query(_SQL["bm25_topk"])
+def postings_topk(spark, d):
+    """The same from an inverted index on disk: written once, then only the terms' buckets are read, and only blocks that may hold one of the ten are opened."""
+    own = Versions(spark, _scratch(spark))
+    docs = table(spark, d, "documents").select(ad.file_of().alias("file"), F.col("doc_id").alias("id"), tx.tokenize("text").alias("tokens"))
+    own.write("postings", postings.blocks(docs), 1)
+    sizes = docs.groupBy(F.col("file").alias("path")).agg(F.count("*").alias("chunks"), F.sum(F.size("tokens")).alias("tokens"))
+    one = F.lit(1).cast("long")
+    listed = own.write_files(sizes.select("path", F.lit(0.0).alias("mtime"), "chunks", "tokens", one.alias("version"), one.alias("edges_version")), 1)
+    row = listed.agg(F.count("*").alias("files"), F.sum("chunks").alias("n"), F.sum("tokens").alias("tokens")).first()
+    own.commit(Commit(1, 1, 0, row["files"], row["n"], row["tokens"]), Commit())
+    terms = bm.query_tokens(spark, "onTion heea")
+    stored = own.valid("postings", own.stored("postings").where(F.col("term").isin(terms)))
+    found = postings.top_k(stored.withColumn("found", F.transform("found", lambda x: x.withField("id", x["id"].cast("long")))), terms, 10, row["n"], row["tokens"] / row["n"])
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 # --- vectors ----------------------------------------------------------------------------------------------
 
 
@@ -166,6 +184,18 @@ def pagerank_by_joins(spark, d):
     return graph.pagerank_by_joins(ad.edges(spark, d)).select("file", F.round("rank", 9).alias("rank"))
 
 
+@query(_SQL["pagerank"])
+def pagerank_maintained(spark, d):
+    """Ranks of a graph without the links of one source, brought up to date when these come."""
+    new = ad.edges(spark, d).checkpoint()
+    late = F.col("source_file").startswith("src/src1/")
+    old = new.where(~late)
+    stored = maintained.steps(old).checkpoint()
+    changed = new.where(late).select(F.col("source_file").alias("file")).distinct()
+    found = maintained.ranks(maintained.updated_steps(stored, old, new, changed))
+    return found.select("file", F.round("rank", 9).alias("rank"))
+
+
 @query(f"WITH {sql.EDGES}, {sql.ranks('SELECT DISTINCT file FROM files')} SELECT file, round(rank, 9) AS rank FROM ranks")
 def pagerank_all_nodes(spark, d):
     return graph.pagerank(ad.edges(spark, d), ad.files(spark, d)).select("file", F.round("rank", 9).alias("rank"))
@@ -540,6 +570,52 @@ def stream_incremental(spark, d):
     return own.table("files").select("path", "mtime")
 
 
+def _sources(spark, d, keep: str, shift: int):
+    """(path, code): a source per file of the documents that `keep` takes; each imports the file of document (7 d + shift) mod N."""
+    docs = table(spark, d, "documents")
+    n = docs.count()
+    to = docs.select(F.col("doc_id").alias("to"), F.concat(F.lit("../"), "source", F.lit("/"), "lang").alias("target"))
+    linked = docs.where(keep).withColumn("to", F.pmod(F.col("doc_id") * 7 + shift, F.lit(n))).join(to, "to")
+    line = F.concat(F.lit("import { f"), "doc_id", F.lit(" } from '"), "target", F.lit("';"))
+    return linked.groupBy(F.concat(F.lit("/src/"), "source", F.lit("/"), "lang", F.lit(".ts")).alias("path")).agg(
+        F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("code")
+    )
+
+
+def _edges_sql(keep: str, shift: int) -> str:
+    return f"""SELECT DISTINCT '/src/' || a.source || '/' || a.lang || '.ts' AS source_file, '/src/' || b.source || '/' || b.lang || '.ts' AS target_file
+    FROM documents a JOIN documents b ON (a.doc_id * 7 + {shift}) % (SELECT count(*) FROM documents) = b.doc_id
+    WHERE a.{keep} AND EXISTS (SELECT 1 FROM documents c WHERE c.{keep} AND c.source = b.source AND c.lang = b.lang)"""
+
+
+@query(_edges_sql("lang <> 'de'", 3))
+def source_imports(spark, d):
+    """Import declarations of sources, resolved to files."""
+    return graph.dependency_edges(_sources(spark, d, "lang <> 'de'", 3))
+
+
+@query(_edges_sql("lang <> 'es'", 3))
+def edges_maintained(spark, d):
+    """Edges after a change: German files come, Spanish ones go, and those of one source import others; only what these touch is resolved again."""
+    old, new = _sources(spark, d, "lang <> 'de'", 5), _sources(spark, d, "lang <> 'es'", 3)
+    own = Versions(spark, _scratch(spark))
+    was, now = old.withColumn("hash", F.md5("code")).checkpoint(), new.withColumn("hash", F.md5("code")).checkpoint()
+    own.write("specifiers", maintained.specifiers(was), 1)
+    own.write("edges", maintained.resolve(own.stored("specifiers"), was), 1)
+    both = was.select("path", F.col("hash").alias("old")).join(now.select("path", F.col("hash").alias("new")), "path", "full_outer").checkpoint()
+    fresh = now.join(both.where("new is not null and not old <=> new").select("path"), "path", "left_semi")
+    own.write("specifiers", maintained.specifiers(fresh), 2)
+    version = F.when(F.expr("old <=> new"), 1).otherwise(2).cast("long")
+    listed = both.where("new is not null").select(F.col("path").alias("file"), version.alias("version")).checkpoint()
+    specifiers = own.stored("specifiers").join(listed, ["file", "version"])
+    moved = both.where("old is null or new is null").select("path")
+    again = maintained.touched(specifiers, moved).union(fresh.select(F.col("path").alias("file"))).distinct().checkpoint()
+    paths = listed.select(F.col("file").alias("path"))
+    resolved = own.write("edges", maintained.resolve(specifiers.join(again, "file", "left_semi"), paths), 2)
+    kept = own.stored("edges").where("version = 1").join(listed, "file", "left_semi").join(again, "file", "left_anti").select("file", "target_file")
+    return kept.union(resolved).select(F.col("file").alias("source_file"), "target_file")
+
+
 # --- names, paths, signatures, imports, declarations -----------------------------------------------------
 
 

@@ -59,8 +59,8 @@ def wanted(path: str, include: list[str] | None = None, ignore: list[str] | None
     return keep & (column.endswith(SUFFIXES[0]) | column.endswith(SUFFIXES[1]))
 
 
-def scan(spark: SparkSession, root: str, include: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
-    """(path, mtime, code) of the wanted files under root; only paths are listed before the filter. Empty files are left out."""
+def _listed(spark: SparkSession, root: str, include: list[str] | None, ignore: list[str] | None) -> DataFrame:
+    """The wanted files of root, as binaryFile has them; contents are read only if they are asked for."""
     root = root.rstrip("/")
     ignored = os.path.join(root, ".gitignore")
     rules = ""
@@ -68,11 +68,28 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, ignor
         with open(ignored, encoding="utf-8") as lines:
             rules = lines.read()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{ts,js}").load(root)
-    plain = F.regexp_replace("path", r"^file:/+", "/")
     cut = len(root) + 1 if "://" in root else len(os.path.abspath(root)) + 1
-    listed = files.select(plain.alias("path"), F.col("modificationTime").alias("mtime"), "content")
-    return (
-        listed.withColumn("relative", F.col("path").substr(F.lit(cut + 1), F.length("path")))
-        .where(wanted("relative", include, ignore, rules))
-        .select("path", "mtime", F.decode("content", "UTF-8").alias("code"))
-    )
+    plain = F.regexp_replace("path", r"^file:/+", "/")
+    named = files.withColumn("path", plain).withColumn("relative", F.col("path").substr(F.lit(cut + 1), F.length("path")))
+    return named.where(wanted("relative", include, ignore, rules))
+
+
+def _text(content: str = "content"):
+    """Bytes that are no UTF-8 count as U+FFFD."""
+    return F.make_valid_utf8(F.col(content).cast("string")).alias("code")
+
+
+def listing(spark: SparkSession, root: str, include: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
+    """(path, mtime) of the wanted files under root; no content is read."""
+    return _listed(spark, root, include, ignore).select("path", F.col("modificationTime").alias("mtime"))
+
+
+def scan(spark: SparkSession, root: str, include: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
+    """(path, mtime, code) of the wanted files under root. Empty files are left out."""
+    return _listed(spark, root, include, ignore).select("path", F.col("modificationTime").alias("mtime"), _text())
+
+
+def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, mtime, code) of these files alone."""
+    files = spark.read.format("binaryFile").load(paths)
+    return files.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), F.col("modificationTime").alias("mtime"), _text())
