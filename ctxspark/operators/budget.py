@@ -76,11 +76,11 @@ def pack_text(text: str | Column, budget: int) -> Column:
     lines = F.split(text, "\n")
     # lines are counted first and joined once, so that a long text isn't copied line by line
     folded = F.aggregate(
-        lines,
+        F.transform(lines, estimate_tokens),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("kept"), F.lit(True).alias("open")),
-        lambda a, line: F.when(
-            a["open"] & (a["n"] + estimate_tokens(line) <= budget - TRUNCATION_RESERVE),
-            F.struct((a["n"] + estimate_tokens(line)).alias("n"), (a["kept"] + 1).alias("kept"), F.lit(True).alias("open")),
+        lambda a, cost: F.when(
+            a["open"] & (a["n"] + cost <= budget - TRUNCATION_RESERVE),
+            F.struct((a["n"] + cost).alias("n"), (a["kept"] + 1).alias("kept"), F.lit(True).alias("open")),
         ).otherwise(F.struct(a["n"].alias("n"), a["kept"].alias("kept"), F.lit(False).alias("open"))),
     )
     head = F.array_join(F.slice(lines, F.lit(1), folded["kept"]), "\n")

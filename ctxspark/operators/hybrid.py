@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ctxspark.functions.text import name_matches, tokenize
 from ctxspark.operators import bm25 as bm
 from ctxspark.operators.vector import cosine, literal_vector
+from ctxspark.session import ensure_checkpoint_dir
 
 FLOOR = 0.001
 
@@ -40,6 +41,7 @@ def scored(
     if terms is None:
         terms = bm.query_tokens(chunks.sparkSession, query)
     if lexical is None:
+        ensure_checkpoint_dir(chunks.sparkSession)
         own = chunks if "tokens" in chunks.columns else chunks.withColumn("tokens", tokenize(corpus_text()))
         # tokens are made once: statistics, greatest score and result all come from what is left of them
         own = own.select("id", "file", "name", "signature", F.size("tokens").alias("dl"), *bm.frequencies(terms)).checkpoint()

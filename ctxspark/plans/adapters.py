@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ctxspark.functions.text import human_name, tokenize
+from ctxspark.session import spread
 
 NOW = "2024-02-01 00:00:00"
 QUERY = "ontion heea onTion ander"
@@ -21,7 +22,7 @@ def file_of(prefix: str = ""):
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     first = F.substring_index("text", "\n", 1)
     named = docs.select(
         file_of().alias("file"), F.regexp_extract("text", r"^[^ \n]+", 0).alias("name"), F.col("doc_id").alias("ord"), "lang", "text",
@@ -78,7 +79,8 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tokenize("text").alias("tokens"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(F.col("doc_id").alias("id"), tokenize("text").alias("tokens"))
 
 
 def first_per_file(found: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ctxspark.operators import budget, chunker, context, graph, hybrid, maintain
 from ctxspark.plans import adapters as ad
 from ctxspark.plans import sql
 from ctxspark.plans.adapters import FILE, NOW, QUERY, table
-from ctxspark.session import ensure_checkpoint_dir
+from ctxspark.session import ensure_checkpoint_dir, spread
 from ctxspark.sources import files as scanning
 from ctxspark.sources import store
 from ctxspark.sources.store import Store
@@ -75,9 +75,11 @@ def corpus_stats(spark, d):
 
 
 def _bm25(spark, d, text):
-    own = ad.tokens(spark, d)
     terms = bm.query_tokens(spark, text)
-    return own.select("id", bm.bm25(terms, bm.statistics(own, terms)).alias("score")).where("score > 0")
+    ensure_checkpoint_dir(spark)
+    # texts are read once: what is left of them is the terms' frequencies
+    own = ad.tokens(spark, d).select("id", F.size("tokens").alias("dl"), *bm.frequencies(terms)).checkpoint()
+    return own.select("id", bm.bm25_of_counts(terms, bm.statistics_of_counts(own, terms)).alias("score")).where("score > 0")
 
 
 @query(f"WITH {sql.bm25('documents', 'text', 'doc_id', 'onTion heea')} SELECT key AS doc_id, round(score, 6) AS score FROM bm WHERE score > 0 ORDER BY bm.score DESC, key LIMIT 10")
@@ -110,7 +112,8 @@ def bm25_postings(spark, d):
 def postings_topk(spark, d):
     """The same from an inverted index on disk: written once, then only the terms' buckets are read, and only blocks that may hold one of the ten are opened."""
     own = Versions(spark, _scratch(spark))
-    docs = table(spark, d, "documents").select(ad.file_of().alias("file"), F.col("doc_id").alias("id"), tx.tokenize("text").alias("tokens"))
+    read = spread(table(spark, d, "documents").select("doc_id", "text", "source", "lang"))
+    docs = read.select(ad.file_of().alias("file"), F.col("doc_id").alias("id"), tx.tokenize("text").alias("tokens"))
     own.write("postings", postings.blocks(docs), 1)
     sizes = docs.groupBy(F.col("file").alias("path")).agg(F.count("*").alias("chunks"), F.sum(F.size("tokens")).alias("tokens"))
     one = F.lit(1).cast("long")
@@ -380,7 +383,7 @@ def pack_entries_greedy(spark, d):
 
 @query(f"SELECT doc_id, {sql.estimate('text')} AS tokens FROM documents")
 def estimate_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.estimate_tokens("text").alias("tokens"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", tx.estimate_tokens("text").alias("tokens"))
 
 
 MODELS = ["gpt-4o", "gpt-4o-mini", "gpt-4-turbo", "o1-mini", "o3-mini", "Claude-3.5-Sonnet", "claude-3-5-sonnet", "phi-3-medium", None]
@@ -398,7 +401,7 @@ def token_budget_by_model(spark, d):
   SELECT doc_id, CASE WHEN whole <= 100 THEN whole ELSE n + 5 END::BIGINT AS tokens,
          md5(CASE WHEN whole <= 100 THEN text ELSE kept || chr(10) || '... (truncated, ' || (whole - n)::BIGINT || ' tokens omitted)' END) AS digest FROM k""")
 def pack_text(spark, d):
-    packed = table(spark, d, "documents").select("doc_id", budget.pack_text("text", 100).alias("p"))
+    packed = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", budget.pack_text("text", 100).alias("p"))
     return packed.select("doc_id", F.col("p.tokens").alias("tokens"), F.md5("p.text").alias("digest"))
 
 

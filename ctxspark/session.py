@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,3 +44,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         shared = os.path.join(tempfile.gettempdir(), "ctxspark-checkpoints")
     sc.setCheckpointDir(shared)
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that costs more than a shuffle of it, as text functions do: dealt out if it has fewer splits than there are cores.
+
+    A small table may be one file with one row group, which one core would work through alone. Tables of many splits stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ctxspark.functions.text import estimate_tokens, tokenize
 from ctxspark.operators import bm25
 from ctxspark.plans import sql
+from ctxspark.session import spread
 from jobs import common
 
 log = logging.getLogger("context_packs")
@@ -48,7 +49,7 @@ def run(
     top: int = 10, budget: int = 300, buckets: int = 8,
 ) -> DataFrame:
     """Write the packs of all questions; returns them read back."""
-    docs, asked = spark.read.parquet(documents), spark.read.parquet(questions)
+    docs, asked = spread(spark.read.parquet(documents)), spark.read.parquet(questions)
     asked = asked.select(F.col(question_id).cast("long").alias("question"), F.col(question_text).cast("string").alias("text"))
     log.info("reading %d documents of %s and %d questions of %s", docs.count(), documents, asked.count(), questions)
     found = packs(docs, asked, top, budget).withColumn("bucket", F.pmod("question", F.lit(buckets)).cast("int"))
