@@ -1,11 +1,13 @@
 """Quality rules, judged by host.
 
 Every text gets counts and rule failures. The base rule (too short, or repetitive) rejects by itself. Of the texts that pass it, failures
-of the other rules are summed by host (`source`); a host's rate for a rule is shrunk towards the corpus rate by a beta prior fitted to the
-hosts (method of moments): (fails + s * mean) / (n + s), where s = mean * (1 - mean) / variance - 1, from 1 to 1000. The limit comes from the
-corpus: the mean of the rules' corpus rates. A host whose shrunk rate for a rule reaches it is bad for that rule, and this verdict goes back to
-its documents: those that break the rule there are rejected. A failure is tolerated where it is an accident: on hosts, mostly of rules, that
-are broken less often than rules are in the whole corpus; small hosts stand near the corpus rate. Documents that break no rule are kept everywhere.
+of the other rules are summed by host (`source`); a host's rate for a rule is shrunk towards the corpus rate of that rule by a beta prior
+fitted to the hosts (method of moments): (fails + s * mean) / (n + s), where s = mean * (1 - mean) / variance - 1, from 1 to 1000. A host is bad
+for a rule if its rate is above the rule's corpus rate with a posterior probability of more than `CERTAINTY`: the shrunk rate exceeds it by
+`DEVIATIONS` standard deviations of the posterior, sqrt(rate * (1 - rate) / (n + s + 1)), the beta posterior taken as normal. Where the whole
+corpus is bad no host stands out, so a host with a shrunk rate of `MOST` or more is bad too. The verdict goes back to the host's documents: those that
+break the rule there are rejected, while the same document is kept on a host that isn't bad for it. Documents that break no rule are kept
+everywhere. Small hosts stand near the corpus rate, with a wide posterior, and are left alone.
 
 Sums are partial before the shuffle. Verdicts are broadcast up to a checked number of hosts, else joined on a key that adaptive execution
 may split, so a host with a third of all rows is no hot task.
@@ -27,6 +29,9 @@ from ctxspark.llm import common
 MAX_SYMBOLS_PER_WORD = 0.1
 MAX_DUP_LINES = 0.3
 WORD_LENGTHS = (2.5, 14.0)
+#: A host is bad for a rule if its rate is above the corpus rate with this probability (that many standard deviations), or is this high.
+CERTAINTY, DEVIATIONS = 0.8, 0.8416
+MOST = 0.5
 #: Hosts up to which their verdicts are broadcast; beyond that they are joined.
 BROADCAST_HOSTS = 100_000
 RULES = ("symbols", "lines", "length")
@@ -98,7 +103,6 @@ def host_verdicts(counted: DataFrame, host: str = "source", quality: str = "qual
     judged = F.nullif(F.col("n_judged"), F.lit(0))
     all_judged = F.nullif(F.sum("n_judged"), F.lit(0))
     prior = sums.agg(
-        (sum((F.sum(f"fails_{r}") for r in RULES[1:]), F.sum(f"fails_{RULES[0]}")) / (all_judged * len(RULES))).alias("limit"),
         *[(F.sum(f"fails_{r}") / all_judged).alias(f"mean_{r}") for r in RULES],
         *[F.var_pop(F.col(f"fails_{r}") / judged).alias(f"var_{r}") for r in RULES],
     )
@@ -110,9 +114,12 @@ def host_verdicts(counted: DataFrame, host: str = "source", quality: str = "qual
     # the prior is one row
     shrunk = sums.join(F.broadcast(prior))
     for r in RULES:
-        rate = (F.col(f"fails_{r}") + F.col(f"strength_{r}") * F.col(f"mean_{r}")) / (F.col("n_judged") + F.col(f"strength_{r}"))
-        shrunk = shrunk.withColumn(f"rate_{r}", rate).withColumn(f"bad_{r}", F.coalesce(F.col(f"rate_{r}") >= F.col("limit"), F.lit(False)))
-    return shrunk.select("host_key", "n_docs", "n_judged", "limit", *[f"rate_{r}" for r in RULES], *[f"bad_{r}" for r in RULES])
+        n, mean, strength = F.col("n_judged"), F.col(f"mean_{r}"), F.col(f"strength_{r}")
+        shrunk = shrunk.withColumn(f"rate_{r}", (F.col(f"fails_{r}") + strength * mean) / (n + strength))
+        rate = F.col(f"rate_{r}")
+        over = (rate - mean > DEVIATIONS * F.sqrt(rate * (1 - rate) / (n + strength + 1))) | (rate >= MOST)
+        shrunk = shrunk.withColumn(f"bad_{r}", F.coalesce(over, F.lit(False)))
+    return shrunk.select("host_key", "n_docs", "n_judged", *[f"rate_{r}" for r in RULES], *[f"bad_{r}" for r in RULES])
 
 
 def judge(counted: DataFrame, hosts: DataFrame, host: str = "source", quality: str = "quality", out: str = "verdict") -> DataFrame:
@@ -163,13 +170,14 @@ h AS (
   SELECT host, count(*) FILTER (NOT f_base) AS n, count(*) FILTER (NOT f_base AND f_symbols) AS k_symbols,
          count(*) FILTER (NOT f_base AND f_lines) AS k_lines, count(*) FILTER (NOT f_base AND f_length) AS k_length FROM f GROUP BY host),
 long AS (UNPIVOT h ON k_symbols, k_lines, k_length INTO NAME rule VALUE k),
-lim AS (SELECT sum(k)::DOUBLE / nullif(sum(n), 0) AS limit_ FROM long),
 prior AS (
   SELECT rule, m, CASE WHEN v > 0 THEN greatest(1, least(1000, m * (1 - m) / v - 1)) ELSE 1000 END AS s
   FROM (SELECT rule, sum(k)::DOUBLE / nullif(sum(n), 0) AS m, var_pop(k::DOUBLE / nullif(n, 0)) AS v FROM long GROUP BY rule)),
 bad AS (
   SELECT host, max(b) FILTER (rule = 'k_symbols') AS b_symbols, max(b) FILTER (rule = 'k_lines') AS b_lines, max(b) FILTER (rule = 'k_length') AS b_length
-  FROM (SELECT host, rule, coalesce((k + s * m) / (n + s) >= limit_, false) AS b FROM long JOIN prior USING (rule), lim) GROUP BY host)
+  FROM (
+    SELECT host, rule, coalesce(r - m > 0.8416::DOUBLE * sqrt(r * (1 - r) / (n + s + 1)) OR r >= 0.5::DOUBLE, false) AS b
+    FROM (SELECT *, (k + s * m) / (n + s) AS r FROM long JOIN prior USING (rule))) GROUP BY host)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, f_base AS base_failed,
        NOT (f_base OR (f_symbols AND b_symbols) OR (f_lines AND b_lines) OR (f_length AND b_length)) AS kept

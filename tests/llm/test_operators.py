@@ -327,23 +327,42 @@ def test_quality_counts(spark, small, hard, hard_docs):
         assert not any(r["base_failed"] and r["kept"] for r in found)
 
 
-def test_a_bad_host_loses_what_breaks_its_rule(spark):
-    good = "These are plain words that nobody would ever want to reject from a corpus, number {}."
-    noisy = "Bad### words$$$ with*** many%%% signs&&& in||| each<<< and>>> every### one$$$ here {}."
-    rows = [(i, (noisy if i % 10 else good).format(i), "bad") for i in range(100)]
-    rows += [(1000 + i, (noisy if i == 0 else good).format(i), f"host{i % 20}") for i in range(2000)]
+GOOD = "These are plain words that nobody would ever want to reject from a corpus, number {}."
+NOISY = "Bad### words$$$ with*** many%%% signs&&& in||| each<<< and>>> every### one$$$ here {}."
+
+
+def judged(spark, rows):
     counted = quality_rules.with_counts(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     hosts = quality_rules.host_verdicts(counted)
-    kept = {r["doc_id"] for r in quality_rules.judge(counted, hosts).where("verdict.kept").collect()}
-    assert kept == {i for i in range(0, 100, 10)} | {1000 + i for i in range(2000)}
+    return {r["doc_id"] for r in quality_rules.judge(counted, hosts).where("verdict.kept").collect()}, {r["host_key"] for r in hosts.where("bad_symbols").collect()}
+
+
+def test_a_bad_host_loses_what_breaks_its_rule(spark):
+    """The same noisy text is rejected where most are noisy and kept elsewhere; a rule that is broken everywhere alike makes no host bad."""
+    rows = [(i, (NOISY if i % 10 else GOOD).format(i), "bad") for i in range(100)]
+    rows += [(1000 + i, (NOISY if i < 20 else GOOD).format(i), f"host{i % 20}") for i in range(2000)]
+    kept, bad = judged(spark, rows)
+    assert kept == {i for i in range(0, 100, 10)} | {1000 + i for i in range(2000)} and bad == {"=bad"}
+    alike = [(i, (NOISY if i % 100 < 20 else GOOD).format(i), f"host{i // 100}") for i in range(2000)]
+    kept, bad = judged(spark, alike)
+    assert len(kept) == 2000 and not bad
+
+
+def test_hosts_of_a_bad_corpus_are_bad(spark):
+    rows = [(i, (NOISY if i % 4 else GOOD).format(i), f"host{i % 3}") for i in range(300)]
+    kept, bad = judged(spark, rows)
+    assert kept == set(range(0, 300, 4)) and len(bad) == 3
 
 
 def test_host_verdicts_change_rows(spark):
-    """On the common tables the verdict rejects documents that the base rule keeps, none of them labelled good."""
+    """On the common tables some hosts are bad and some aren't; what the verdict rejects isn't labelled good."""
     sf = "/root/testdata/sf0.01"
+    counted = quality_rules.with_counts(spark.read.parquet(f"{sf}/documents.parquet")).drop("text")
+    hosts = quality_rules.host_verdicts(counted).collect()
+    assert 0 < sum(r["bad_symbols"] or r["bad_lines"] or r["bad_length"] for r in hosts) < len(hosts)
     found = QUERIES["op5_host_rules"](spark, sf).where("NOT base_failed AND NOT kept").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left")
     rows = found.collect()
-    assert len(rows) > 30 and sum(r["quality"] == 0 for r in rows) > 10 and not any(r["quality"] == 1 for r in rows)
+    assert rows and not any(r["quality"] == 1 for r in rows)
 
 
 def test_host_verdicts_without_judged_documents(spark):

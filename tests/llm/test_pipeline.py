@@ -1,6 +1,7 @@
 """run() against the stages redone by brute force."""
 
 import collections
+import math
 import hashlib
 import os
 
@@ -26,13 +27,15 @@ def rejected(rows):
     judged = [(r["source"], b) for r, b in zip(rows, broken) if not b[0]]
     n = collections.Counter(host for host, _ in judged)
     fails = [collections.Counter(host for host, b in judged if b[rule]) for rule in range(4)]
-    limit = sum(sum(f.values()) for f in fails[1:]) / (3 * len(judged))
     bad = set()
     for rule in range(1, 4):
         mean = sum(fails[rule].values()) / len(judged)
         spread = np.var([fails[rule][h] / n[h] for h in n])
         strength = min(1000, max(1, mean * (1 - mean) / spread - 1)) if spread > 0 else 1000
-        bad |= {(h, rule) for h in n if (fails[rule][h] + strength * mean) / (n[h] + strength) >= limit}
+        for h in n:
+            rate = (fails[rule][h] + strength * mean) / (n[h] + strength)
+            if rate >= 0.5 or rate - mean > 0.8416 * math.sqrt(rate * (1 - rate) / (n[h] + strength + 1)):
+                bad.add((h, rule))
     return [b[0] or any(b[k] and (r["source"], k) in bad for k in (1, 2, 3)) for r, b in zip(rows, broken)]
 
 
