@@ -27,10 +27,14 @@ def resolved(base: Column, relative: Column) -> Column:
 
 
 def ending_pairs(left: DataFrame, long: str, right: DataFrame, short: str) -> DataFrame:
-    """Rows of left and right where the string `long` ends with `short`, by an equal key: a short one with a slash shares the long one's last
-    segment, one without is an end of it. Column names of the two sides must differ."""
-    last = F.element_at(F.split(F.col(long), "/"), -1)
-    ends = F.transform(F.sequence(F.lit(1), F.length(last) + 1), lambda at: F.substr(last, at))
-    keyed = left.withColumn("__ends", F.explode(F.array_union(F.array(F.concat(F.lit("/"), last)), ends)))
-    key = F.when(F.col(short).contains("/"), F.concat(F.lit("/"), F.element_at(F.split(F.col(short), "/"), -1))).otherwise(F.col(short))
-    return keyed.join(right.withColumn("__end", key), (F.col("__ends") == F.col("__end")) & F.col(long).endswith(F.col(short))).drop("__ends", "__end")
+    """Rows of left and right where the string `long` ends with `short`. Column names of the two sides must differ.
+
+    A long one is cut to each length that short ones have, and these ends are joined by equality: a key holds true pairs alone, so paths with
+    one last segment (`index.ts`) only meet those that end like them, parents included. The lengths are no more than the longest path has characters.
+    """
+    lengths = sorted(r[0] for r in right.select(F.length(short)).where(F.col(short).isNotNull()).distinct().collect())
+    if not lengths:
+        return left.join(right, F.lit(False))
+    ends = F.transform(F.array(*map(F.lit, lengths)), lambda n: F.when(F.length(long) >= n, F.right(F.col(long), n)))
+    keyed = left.withColumn("__end", F.explode(F.filter(ends, lambda x: x.isNotNull())))
+    return keyed.join(right, F.col("__end") == F.col(short)).drop("__end")

@@ -1,92 +1,118 @@
-"""Compact signatures of chunks, by kind. Multi-line state makes them Python; they run in Arrow batches."""
+"""Compact signatures of chunks, by kind, as Columns: lines of code as an array, searched and cut where the kind says."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ctxspark.functions.text import SPACE
+
+# Lengths, and what the lines of interest look like.
 SHORT_INTERFACE, CONSTANT_LENGTH, FUNCTION_LINES = 200, 150, 10
 COMMENT = ("*", "/**", "//", "/*")
-CLASS_LINE = re.compile(r"\s*(?:export\s+)?class\s")
-METHOD_LINE = re.compile(r"\s+(?:async\s+)?(\w+)\s*\(")
-TYPE_LINE = re.compile(r"\s*(?:export\s+)?(?:interface|type)\s")
-MEMBER_LINE = re.compile(r"\s+(\w+)\s*[?]?\s*:")
+CLASS_LINE = r"^\s*(?:export\s+)?class\s"
+METHOD_LINE = r"^\s+(?:async\s+)?(\w+)\s*\("
+TYPE_LINE = r"^\s*(?:export\s+)?(?:interface|type)\s"
+MEMBER_LINE = r"^\s+(\w+)\s*[?]?\s*:"
+
+
+def _trim(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _lines(code: Column) -> Column:
+    return F.split(code, "\n")
+
+
+def _before_brace(text: Column) -> Column:
+    return _trim(F.substring_index(text, "{", 1))
+
+
+def _or(text: Column, other: Column) -> Column:
+    return F.when(text != "", text).otherwise(other)
+
 
+def _after_comments(code: Column) -> Column:
+    """Trimmed lines from the first that is neither empty nor a comment."""
 
-def _after_comments(lines: list[str]) -> list[str]:
-    """Lines from the first that is neither empty nor a comment."""
-    for i, line in enumerate(lines):
-        bare = line.strip()
-        if bare and not bare.startswith(COMMENT):
-            return lines[i:]
-    return []
+    def says_something(line: Column) -> Column:
+        found = line != ""
+        for mark in COMMENT:
+            found = found & ~line.startswith(mark)
+        return found
 
+    def cut(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, says_something), True)
+        return F.when(first > 0, F.slice(lines, F.greatest(first, F.lit(1)), F.size(lines))).otherwise(F.array().cast("array<string>"))
 
-def _before_brace(text: str) -> str:
-    return text.partition("{")[0].strip()
+    return _once(F.transform(_lines(code), _trim), cut)
 
 
-def of_function(code: str, name: str) -> str:
+def _names(lines: Column, pattern: str) -> Column:
+    return F.transform(F.filter(lines, lambda x: x.rlike(pattern)), lambda x: F.regexp_extract(x, pattern, 1))
+
+
+def _listed(head: Column, names: Column) -> Column:
+    """A declaration and its members' names, if it has any."""
+    return F.concat(_before_brace(head), F.when(F.size(names) > 0, F.concat(F.lit(" { "), F.array_join(names, ", "), F.lit(" }"))).otherwise(""))
+
+
+def of_function(code: Column, name: Column) -> Column:
     """Up to the first brace or arrow, over ten lines at most. The first brace may well belong to a parameter."""
-    parts: list[str] = []
-    for line in _after_comments(code.split("\n"))[:FUNCTION_LINES]:
-        parts.append(line.strip())
-        if "{" in line:
-            return _before_brace(" ".join(parts)) or name
-        if "=>" in line:
-            return (" ".join(parts).partition("=>")[0].rstrip() + " =>").strip()
-    return " ".join(p for i, p in enumerate(parts) if p or i) or name
 
+    def cut(lines: Column) -> Column:
+        end = F.array_position(F.transform(lines, lambda x: x.contains("{") | x.contains("=>")), True)
+        head = F.array_join(F.slice(lines, F.lit(1), end.cast("int")), " ")
+        arrow = F.concat(F.regexp_replace(F.substring_index(head, "=>", 1), f"{SPACE}+$", ""), F.lit(" =>"))
+        ended = F.when(F.element_at(lines, F.greatest(end, F.lit(1)).cast("int")).contains("{"), _or(_before_brace(head), name)).otherwise(_trim(arrow))
+        return F.when(F.size(lines) == 0, name).when(end > 0, ended).otherwise(_or(F.array_join(lines, " "), name))
 
-def of_class(code: str, name: str) -> str:
-    """The class line, and all names that look like a method's at the beginning of a line."""
-    lines = code.split("\n")
-    head = next((x for x in lines if CLASS_LINE.match(x)), None)
-    if head is None:
-        return f"class {name}"
-    methods = [m[1] for m in map(METHOD_LINE.match, lines) if m and m[1] != "constructor"]
-    return _before_brace(head) + (f" {{ {', '.join(methods)} }}" if methods else "")
+    return _once(F.slice(_after_comments(code), 1, FUNCTION_LINES), cut)
 
 
-def of_interface(code: str, name: str) -> str:
-    """Short ones whole, long ones as a list of members."""
-    lines = code.split("\n")
-    head = next((x for x in lines if TYPE_LINE.match(x)), None)
-    if head is None:
-        return f"interface {name}"
-    if len(code.strip()) <= SHORT_INTERFACE:
-        return code.strip()
-    members = [m[1] for m in map(MEMBER_LINE.match, lines) if m]
-    return _before_brace(head) + (f" {{ {', '.join(members)} }}" if members else "")
+def of_class(code: Column, name: Column) -> Column:
+    """The class line, and all names that look like a method's at the beginning of a line."""
 
+    def cut(lines: Column) -> Column:
+        head = F.get(F.filter(lines, lambda x: x.rlike(CLASS_LINE)), F.lit(0))
+        methods = F.filter(_names(lines, METHOD_LINE), lambda n: n != "constructor")
+        return F.when(head.isNull(), F.concat(F.lit("class "), name)).otherwise(_listed(head, methods))
 
-def of_constant(code: str, name: str) -> str:
-    rest = _after_comments(code.split("\n"))
-    line = rest[0].strip() if rest else f"const {name}"
-    return line if len(line) <= CONSTANT_LENGTH else line[:CONSTANT_LENGTH] + "..."
+    return _once(_lines(code), cut)
 
 
-KINDS = {
-    "function": of_function, "method": of_function, "arrow-function": of_function,
-    "class": of_class, "interface": of_interface, "type-alias": of_interface, "constant": of_constant,
-}
+def of_interface(code: Column, name: Column) -> Column:
+    """Short ones whole, long ones as a list of members."""
 
+    def cut(lines: Column) -> Column:
+        head = F.get(F.filter(lines, lambda x: x.rlike(TYPE_LINE)), F.lit(0))
+        whole = _trim(code)
+        long = _listed(head, _names(lines, MEMBER_LINE))
+        return F.when(head.isNull(), F.concat(F.lit("interface "), name)).when(F.length(whole) <= SHORT_INTERFACE, whole).otherwise(long)
 
-def signature_of(kind: str, code: str, name: str) -> str:
-    make = KINDS.get(kind)
-    return make(code, name) if make else code.split("\n")[0].strip()
+    return _once(_lines(code), cut)
 
 
-@F.arrow_udf(T.StringType())
-def _signature(kind, code, name):
-    import pyarrow as pa
+def of_constant(code: Column, name: Column) -> Column:
+    line = F.coalesce(F.get(_after_comments(code), F.lit(0)), F.concat(F.lit("const "), name))
+    return _once(line, lambda x: F.when(F.length(x) <= CONSTANT_LENGTH, x).otherwise(F.concat(F.substring(x, 1, CONSTANT_LENGTH), F.lit("..."))))
 
-    rows = zip(kind.to_pylist(), code.to_pylist(), name.to_pylist())
-    return pa.array([None if c is None else signature_of(k, c, n or "") for k, c, n in rows], pa.string())
+
+KINDS = {
+    of_function: ("function", "method", "arrow-function"), of_class: ("class",), of_interface: ("interface", "type-alias"), of_constant: ("constant",),
+}
 
 
 def signature(kind: str | Column, code: str | Column, name: str | Column) -> Column:
-    return _signature(*[F.col(x) if isinstance(x, str) else x for x in (kind, code, name)])
+    """Signature of a chunk; of a kind that isn't known, its first line. Null code has none; a null name is empty."""
+    kind, code, name = [F.col(x) if isinstance(x, str) else x for x in (kind, code, name)]
+    name = F.coalesce(name, F.lit(""))
+    out = None
+    for make, kinds in KINDS.items():
+        out = (F if out is None else out).when(kind.isin(*kinds), make(code, name))
+    return F.when(code.isNotNull(), out.otherwise(_trim(F.substring_index(code, "\n", 1))))

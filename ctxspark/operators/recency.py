@@ -9,8 +9,6 @@ from ctxspark.functions.paths import ending_pairs, normalised
 from ctxspark.functions.text import short_path
 
 DECAY_DAYS = 10.0
-#: Committed paths that are compared with every file; a log of 200 commits has fewer.
-BROADCAST_PATHS = 50_000
 
 
 def decay(age_seconds: Column) -> Column:
@@ -31,15 +29,11 @@ def recency(commits: DataFrame, now: str) -> DataFrame:
 def match_files(files: DataFrame, recent: DataFrame) -> DataFrame:
     """(file, recency): the first path in log order that the file ends with, or that ends with the file's last two segments.
 
-    Only distinct files are compared. A log of up to BROADCAST_PATHS paths is broadcast; a longer one is matched by equal keys.
+    Only distinct files are compared, by equal ends.
     """
     own = files.select("file").distinct().withColumn("norm", normalised(F.col("file"))).withColumn("last2", short_path("norm"))
-    hit = F.col("norm").endswith(F.col("path")) | F.col("path").endswith(F.col("last2"))
-    if recent.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS:
-        joined = own.join(F.broadcast(recent), hit)
-    else:
-        columns = ["file", "recency", "commit_ord"]
-        joined = ending_pairs(own, "norm", recent, "path").select(columns).union(ending_pairs(recent, "path", own, "last2").select(columns))
+    columns = ["file", "recency", "commit_ord"]
+    joined = ending_pairs(own, "norm", recent, "path").select(columns).union(ending_pairs(recent, "path", own, "last2").select(columns))
     return joined.groupBy("file").agg(F.min_by("recency", "commit_ord").alias("recency"))
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ctxspark.functions import paths
 from ctxspark.functions import text as tx
 from ctxspark.functions.signature import signature
 from ctxspark.operators import bm25 as bm
@@ -19,7 +20,7 @@ from ctxspark.sources import files as scanning
 from ctxspark.sources import store
 from ctxspark.sources.store import Store
 from ctxspark.sources.versions import Commit, Versions
-from ctxspark.streaming import incremental
+from ctxspark.streaming import incremental, listings
 
 _QUERIES: dict = {}
 _SQL: dict = {}
@@ -250,6 +251,22 @@ def suffix_join_recency(spark, d):
     return recency.match_files(ad.files(spark, d), recent)
 
 
+HOT_FILE = "'/src/' || source || '/' || lang || '/d' || (doc_id % 7) || CASE WHEN doc_id % 3 = 0 THEN '/index.ts' ELSE '/f' || doc_id || '.ts' END"
+
+
+@query(f"""WITH f AS (SELECT DISTINCT {HOT_FILE} AS file FROM documents),
+s AS (SELECT DISTINCT file[1 + doc_id % 13:] AS path FROM (SELECT doc_id, {HOT_FILE} AS file FROM documents WHERE doc_id % 5 = 0))
+SELECT file, count(*) AS n, min(path) AS first, max(path) AS last FROM f JOIN s ON suffix(file, path) GROUP BY file""")
+def suffix_join_hot(spark, d):
+    """Files that end with given paths; a third of them are called index.ts."""
+    docs = table(spark, d, "documents")
+    file = F.expr(HOT_FILE)
+    files = docs.select(file.alias("file")).distinct()
+    ends = docs.where("doc_id % 5 = 0").select(F.expr(f"substring({HOT_FILE}, int(1 + doc_id % 13))").alias("path")).distinct()
+    found = paths.ending_pairs(files, "file", ends, "path")
+    return found.groupBy("file").agg(F.count("*").alias("n"), F.min("path").alias("first"), F.max("path").alias("last"))
+
+
 LOG = ["1700000300 abc123", "", "src/a.ts", "src/b.ts", "1700000200 def456", "src/a.ts", "  ", "1700000100 0a0b0c", "src/c.ts"]
 
 
@@ -619,6 +636,21 @@ def edges_maintained(spark, d):
     return kept.union(resolved).select(F.col("file").alias("source_file"), "target_file")
 
 
+@query(f"""WITH o AS ({OLD}), n AS ({NEW})
+SELECT path, 'added' AS status, 1 AS listing FROM o
+UNION ALL SELECT path, CASE WHEN o.path IS NULL THEN 'added' ELSE 'changed' END, 2 FROM n LEFT JOIN o USING (path) WHERE o.path IS NULL OR o.mtime <> n.mtime
+UNION ALL SELECT path, 'deleted', 2 FROM o WHERE path NOT IN (SELECT path FROM n)""")
+def stream_deletions(spark, d):
+    """Two listings of paths as a stream: what the second one lacks is deleted by a timer."""
+    place = _scratch(spark)
+    for hour, listing in enumerate(ad.snapshots(spark, d), 1):
+        rows = listing.withColumn("listed", F.lit(f"2024-01-01 0{hour}:00:00").cast("timestamp"))
+        rows.repartition(1).write.mode("append").parquet(f"{place}/in")
+    found = listings.follow(spark, f"{place}/in", f"{place}/out", f"{place}/checkpoint")
+    # a deletion is just after the last listing that had the path
+    return found.select("path", "status", F.when(F.col("status") == "deleted", 2).otherwise(F.hour("listed")).alias("listing"))
+
+
 # --- names, paths, signatures, imports, declarations -----------------------------------------------------
 
 

@@ -145,21 +145,28 @@ def test_broken_sources_end():
         chunker.chunks_of("a.ts", text)
 
 
-def test_paths_by_equal_keys(spark, monkeypatch):
-    """A long log gives what a broadcast one gives; changed files are those whose path ends with the other's."""
+def test_paths_by_equal_ends(spark):
+    """Matches of files and committed paths by brute force; a third of the files are called index.ts; no nested loop in the plan."""
     import random
 
+    from ctxspark.functions import paths
     from ctxspark.operators import context, recency
 
     r = random.Random(3)
     name = lambda n: "/".join(r.choice(["a", "ba", "c.ts", "xc.ts", "d"]) for _ in range(n))
-    files = sorted({name(r.randint(1, 4)) for _ in range(120)})
-    log = [(name(r.randint(1, 4)), i, i / 100) for i in range(60)]
+    files = sorted({name(r.randint(1, 4)) for _ in range(120)} | {f"{name(r.randint(1, 3))}/index.ts" for _ in range(60)})
+    log = [(name(r.randint(1, 4)), i, i / 100) for i in range(60)] + [("index.ts", 60, 0.5), ("a/index.ts", 61, 0.4), ("", 99, 0.1)]
     frame = spark.createDataFrame([(f,) for f in files], "file string")
     recent = spark.createDataFrame(log, "path string, commit_ord int, recency double")
-    expected = sorted(tuple(x) for x in recency.match_files(frame, recent).collect())
-    monkeypatch.setattr(recency, "BROADCAST_PATHS", 0)
-    assert sorted(tuple(x) for x in recency.match_files(frame, recent).collect()) == expected
+    short = lambda f: "/".join(f.split("/")[-2:])
+    expected = {f: next(x for p, _, x in log if f.endswith(p) or p.endswith(short(f))) for f in files}
+    found = recency.match_files(frame, recent)
+    assert {x["file"]: x["recency"] for x in found.collect()} == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    pairs = paths.ending_pairs(frame, "file", recent.select("path"), "path").collect()
+    assert sorted(map(tuple, pairs)) == sorted((f, p) for f in files for p, *_ in log if f.endswith(p))
+    assert paths.ending_pairs(frame, "file", recent.select("path").limit(0), "path").collect() == []
     changed = [p for p, _, _ in log[:5]]
     found = {x["file"] for x in context.changed_chunks(frame, spark.createDataFrame([(p,) for p in changed], "path string")).collect()}
     assert found == {f for f in files if any(f.endswith(p) or p.endswith(f) for p in changed)}
