@@ -37,22 +37,21 @@ def match_files(files: DataFrame, recent: DataFrame) -> DataFrame:
     return joined.groupBy("file").agg(F.min_by("recency", "commit_ord").alias("recency"))
 
 
-def parse_log(lines: DataFrame) -> DataFrame:
+def parse_log(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(line_no, line) of `git log --format="%at %H" --name-only` -> (commit_ord, ts, path).
 
-    A log is short (200 commits), so carrying the time forward in one ordered window is bounded.
+    by: columns that tell logs apart. One log is short (200 commits), so carrying the time forward in an ordered window is bounded.
     """
     from pyspark.sql import Window
 
-    order = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    by = by or []
+    order = Window.partitionBy(*by).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     head = F.col("line").rlike(r"^\d+\s+[a-f0-9]+$")
-    carried = lines.select(
-        "line_no", F.trim("line").alias("line")
-    ).select(
-        "line", head.alias("head"),
+    carried = lines.select(*by, "line_no", F.trim("line").alias("line")).select(
+        *by, "line", head.alias("head"),
         F.last(F.when(head, F.regexp_extract("line", r"^(\d+)", 1).cast("long")), ignorenulls=True).over(order).alias("at"),
         F.count_if(head).over(order).alias("commit_ord"),
-    )
+    )
     return carried.where(~F.col("head") & (F.col("line") != "") & F.col("at").isNotNull()).select(
-        "commit_ord", F.timestamp_seconds("at").alias("ts"), F.col("line").alias("path")
+        *by, "commit_ord", F.timestamp_seconds("at").alias("ts"), F.col("line").alias("path")
     )

@@ -820,3 +820,6 @@ def scan_files(spark, d):
 def chunks_last_wins(spark, d):
     order = Window.partitionBy("file", "name").orderBy(F.desc("ord"))
     return ad.chunks(spark, d).select("file", "name", "ord", F.row_number().over(order).alias("rn")).where("rn = 1").drop("rn")
+
+
+from ctxspark.plans import generated  # noqa: E402, F401  its queries register themselves

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctxspark.sources import ignore as ignoring
+
 # What is scanned, and what is ignored whatever the user says.
 INCLUDE = ["src/**/*.ts", "src/**/*.js"]
 IGNORE = ["node_modules/**", "dist/**"]
@@ -62,16 +66,24 @@ def wanted(path: str, include: list[str] | None = None, ignore: list[str] | None
 def _listed(spark: SparkSession, root: str, include: list[str] | None, ignore: list[str] | None) -> DataFrame:
     """The wanted files of root, as binaryFile has them; contents are read only if they are asked for."""
     root = root.rstrip("/")
-    ignored = os.path.join(root, ".gitignore")
-    rules = ""
-    if "://" not in root and os.path.exists(ignored):
-        with open(ignored, encoding="utf-8") as lines:
-            rules = lines.read()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{ts,js}").load(root)
     cut = len(root) + 1 if "://" in root else len(os.path.abspath(root)) + 1
     plain = F.regexp_replace("path", r"^file:/+", "/")
     named = files.withColumn("path", plain).withColumn("relative", F.col("path").substr(F.lit(cut + 1), F.length("path")))
-    return named.where(wanted("relative", include, ignore, rules))
+    kept = named.where(wanted("relative", include, ignore))
+    # the listing is with the driver already; as one string it comes in one call
+    names = json.loads(spark.sparkContext._jvm.com.fasterxml.jackson.databind.ObjectMapper().writeValueAsString(files._jdf.inputFiles()))
+    rules = ignoring.read_rules(spark, root, [_relative(x, cut) for x in names])
+    if not rules:
+        return kept
+    # paths alone go through the rules
+    gone = ignoring.ignored(kept.select("relative"), spark.createDataFrame(rules, ignoring.RULES))
+    return kept.join(gone, "relative", "left_anti")
+
+
+def _relative(uri: str, cut: int) -> str:
+    """A listed file's path below the root."""
+    return unquote(re.sub(r"^file:/+", "/", uri))[cut:]
 
 
 def _text(content: str = "content"):

@@ -95,10 +95,9 @@ class Store:
     def lookup(self, name: str, value: str) -> DataFrame:
         """One row by its key: one bucket is read."""
         key = KEYS[name]
-        return self._stored(name).where((F.col("bucket") == self.bucket_of(value)) & (F.col(key) == value)).select(*SCHEMAS[name].names)
-
-    def bucket_of(self, value: str) -> int:
-        return self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(value)), F.lit(BUCKETS)).cast("int")).first()[0]
+        # the bucket is a constant to the optimizer, so partitions are pruned and no job is needed to hash the key
+        bucket = F.pmod(F.xxhash64(F.lit(value)), F.lit(BUCKETS)).cast("int")
+        return self._stored(name).where((F.col("bucket") == bucket) & (F.col(key) == value)).select(*SCHEMAS[name].names)
 
     def _write(self, table: str, rows: DataFrame) -> None:
         key = KEYS[table]
