@@ -11,7 +11,7 @@ from ctxspark.functions import paths
 from ctxspark.functions import text as tx
 from ctxspark.functions.signature import signature
 from ctxspark.operators import bm25 as bm
-from ctxspark.operators import budget, chunker, context, graph, hybrid, maintained, postings, recency, report, vector
+from ctxspark.operators import budget, chunker, context, graph, hybrid, maintained, postings, recency, report, vector, vector_lists
 from ctxspark.plans import adapters as ad
 from ctxspark.plans import sql
 from ctxspark.plans.adapters import FILE, NOW, QUERY, table
@@ -146,6 +146,14 @@ def cosine_search_all(spark, d):
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query(_SQL["cosine_search_all"])
+def cosine_search_lists(spark, d):
+    """The same by inverted lists: those that can't hold one of the ten best aren't read."""
+    vectors = table(spark, d, "embeddings")
+    found = vector_lists.search(vector_lists.build(vectors), vectors.where("vec_id % 100 = 0"), 10)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 GUARDS = [("same", [1.0, 2.0], [2.0, 4.0]), ("opposite", [1.0, 0.0], [-1.0, 0.0]), ("lengths", [1.0], [1.0, 2.0]), ("empty", [], []), ("zero", [0.0, 0.0], [1.0, 1.0])]
 
 
