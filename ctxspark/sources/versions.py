@@ -35,6 +35,10 @@ SCHEMAS = {
 FILES = "path string, mtime double, chunks long, tokens long, version long, edges_version long"
 RANKS = "file string, steps array<double>"
 COMMIT = "files long, ranks long, n_files long, n_chunks long, n_tokens long"
+#: What a table is looked up by: rows are sorted by it, and each row group has a Bloom filter of it.
+KEYS = {"chunks": "id", "embeddings": "chunk_id", "specifiers": "file", "edges": "file"}
+#: Further options of the Parquet writer.
+OPTIONS: dict[str, str] = {}
 #: The column of the list of files that says which version of a table's rows counts.
 COUNTS_BY = {"edges": "edges_version"}
 
@@ -115,6 +119,10 @@ class Versions:
         kept = self.files(at).select(F.col("path").alias("file"), counts.alias("version"))
         return stored.join(kept, ["file", "version"]).drop("version")
 
+    def lookup(self, table: str, key: str, at: Commit | None = None) -> DataFrame:
+        """Rows of one key. Row groups that can't have it are skipped, by their bounds or their Bloom filter."""
+        return self.valid(table, self.stored(table).where(F.col(KEYS[table]) == key), at)
+
     def table(self, name: str, at: Commit | None = None) -> DataFrame:
         """A table as its users know it."""
         if name == "files":
@@ -133,10 +141,14 @@ class Versions:
         rows = rows.coalesce(1) if small else rows
         if table == "postings":
             rows = rows.withColumn("bucket", bucket_of(F.col("term")))
-            rows = (rows if small else rows.repartition("bucket", F.pmod(F.xxhash64("file"), F.lit(8)))).sortWithinPartitions("bucket", "term")
+            # as many tasks a bucket as the session has partitions for it
+            parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+            rows = (rows if small else rows.repartition("bucket", F.pmod(F.xxhash64("file"), F.lit(parts)))).sortWithinPartitions("bucket", "term")
             rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
         else:
-            rows.write.mode("overwrite").parquet(path)
+            key = KEYS[table]
+            kept = rows.sortWithinPartitions(key).write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true")
+            kept.options(**OPTIONS).parquet(path)
         return self.spark.read.schema(SCHEMAS[table]).parquet(path)
 
     def write_files(self, files: DataFrame, version: int, small: bool = False) -> DataFrame:

@@ -51,8 +51,8 @@ def _adder(output: str, buckets: int):
         own = own.persist(StorageLevel.DISK_ONLY)  # two tables come from it
         try:
             found = bm25.postings(own, "doc_id").withColumn("batch", F.lit(number).cast("long")).withColumn("bucket", bucket_of("term", buckets))
-            # a frequent term's bucket is dealt out by document
-            dealt = found.repartition("bucket", F.pmod("doc_id", F.lit(8))).sortWithinPartitions("bucket", "term", "doc_id")
+            # ranges grow with what is in them, so a bucket with a frequent term is many tasks' and files'
+            dealt = found.repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id")
             _write(dealt, f"{output}/postings", "batch", "bucket")
             # these make the batch's postings count, so they come last
             _write(own.select("doc_id", F.size("tokens").alias("dl"), "lang", "source", "batch"), f"{output}/documents", "batch")

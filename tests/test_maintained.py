@@ -256,3 +256,31 @@ def test_a_change_writes_in_proportion(spark, tmp_path):
 
     for table in ("chunks", "embeddings", "postings"):
         assert size(table, at) < size(table, at - 1) / 4
+
+
+def test_lookups_skip_row_groups(spark, tmp_path, monkeypatch):
+    """One key reads one row group of many; a key that isn't there, within the bounds of all, none."""
+    monkeypatch.setattr(versions, "OPTIONS", {"parquet.block.size": "4096", "parquet.page.size": "1024", "parquet.block.size.row.check.min": "50", "parquet.page.size.row.check.min": "50"})
+    store = versions.Versions(spark, str(tmp_path / "store"))
+    ids = spark.range(4000).select(F.format_string("f%d.ts#n%05d", F.col("id") % 3, "id").alias("id"), F.format_string("f%d.ts", F.col("id") % 3).alias("file"))
+    rows = ids.select("file", "id", *[F.md5("id").alias(c) for c in ("type", "name", "signature", "code", "hash", "summary")], F.lit(1).alias("ord"))
+    store.write("chunks", rows, 1, small=True)
+    one = F.lit(1).cast("long")
+    store.write_files(rows.select(F.col("file").alias("path"), F.lit(0.0).alias("mtime"), one.alias("chunks"), one.alias("tokens"), one.alias("version"), one.alias("edges_version")).distinct(), 1)
+    store.commit(versions.Commit(1, 1, 0, 3, 4000, 1), versions.Commit())
+
+    def read(key):
+        """Rows that come out, and rows that the scan of the chunks handed over."""
+        found = store.stored("chunks").where(F.col("id") == key)
+        n = len(found.collect())
+        leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+        return n, leaves.apply(0).metrics().apply("numOutputRows").value()
+
+    assert [r["name"] for r in store.lookup("chunks", "f2.ts#n00074").collect()] == [rows.where("id = 'f2.ts#n00074'").first()["name"]]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        n, handed = read("f2.ts#n00074")
+        assert n == 1 and 1 <= handed < 1000
+        assert read("f1.ts#n00074") == (0, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
