@@ -86,6 +86,7 @@ def neighbours(edges: DataFrame, file: str, with_self: bool = True) -> DataFrame
     return found.distinct()
 
 
+# What an import looks like.
 IMPORT = r"""(?m)^\s*import\s+(?:[^'";]*?\sfrom\s+)?['"]([^'"]+)['"]"""
 REQUIRE = r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)"""
 # What is tried for a specifier, in this order.

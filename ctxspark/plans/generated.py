@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ctxspark.functions import text as tx
 from ctxspark.functions.signature import signature
-from ctxspark.operators import budget, chunker, recency, report
+from ctxspark.operators import budget, chunker, projects, recency, report
 from ctxspark.plans import sql
 from ctxspark.plans.adapters import table
 from ctxspark.plans.catalogue import _list, _scratch, query
@@ -118,6 +118,42 @@ def scanned_paths(spark, d):
     return paths.join(ignore.ignored(paths, rules, "path"), "path", "left_anti")
 
 
+LISTED = [
+    "package.json", "tsconfig.json", "src/index.ts", "packages/a/x.ts", "controllers/a.js", "services/b.ts", "go.mod", "jest.config.js", "lib/x.py", "src/deep/a.go",
+    "features/f.ts", "components/c.js", "lerna.json", "Cargo.toml", "server.js", "main.ts", "pyproject.toml", "src/x.rb", "README.md", "models/m.ts", "a.sln",
+]
+
+
+def _has(*paths: str) -> str:
+    return f"list_has_any(p, [{', '.join(map(repr, paths))}])"
+
+
+@query(f"""WITH l AS (SELECT source || '-' || lang AS project, list(DISTINCT [{', '.join(map(repr, LISTED))}][1 + (doc_id * 5) % {len(LISTED)}]) AS p FROM documents GROUP BY 1),
+m AS (SELECT *, list_filter([
+  CASE WHEN {_has('package.json', 'tsconfig.json')} THEN 'javascript' END, CASE WHEN {_has('tsconfig.json', 'main.ts')} THEN 'typescript' END,
+  CASE WHEN {_has('pyproject.toml')} THEN 'python' END, CASE WHEN {_has('go.mod')} THEN 'go' END, CASE WHEN {_has('Cargo.toml')} THEN 'rust' END,
+  CASE WHEN {_has('a.sln')} THEN 'csharp' END], lambda x: x IS NOT NULL) AS marked,
+  list_filter([CASE WHEN {_has('src/index.ts')} THEN 'typescript' END, CASE WHEN {_has('src/deep/a.go')} THEN 'go' END, CASE WHEN {_has('src/x.rb')} THEN 'ruby' END], lambda x: x IS NOT NULL) AS found FROM l)
+SELECT project, array_to_string(CASE WHEN len(marked) > 0 THEN marked ELSE found END, ',') AS language,
+  CASE WHEN {_has('packages/a/x.ts', 'services/b.ts')} THEN CASE WHEN {_has('lerna.json')} THEN 'monorepo' ELSE 'multi-package' END
+       WHEN {_has('controllers/a.js', 'components/c.js')} THEN CASE WHEN {_has('services/b.ts', 'models/m.ts')} THEN 'mvc-layered' ELSE 'component-based' END
+       WHEN {_has('features/f.ts')} THEN 'feature-based' WHEN {_has('src/index.ts', 'src/deep/a.go', 'src/x.rb')} THEN 'src-based' ELSE 'flat' END AS structure,
+  array_to_string(list_filter([CASE WHEN {_has('src/index.ts')} THEN 'src/index.ts' END, CASE WHEN {_has('server.js')} THEN 'server.js' END], lambda x: x IS NOT NULL), ',') AS entries,
+  CASE WHEN {_has('jest.config.js')} THEN '**/*.test.ts' WHEN {_has('pyproject.toml')} THEN 'tests/**/*.py' ELSE 'test/**' END AS first_tests,
+  CASE WHEN {_has('package.json')} THEN 'express,' || CASE WHEN lang_en THEN 'react,' ELSE '' END || 'prisma' ELSE '' END AS framework
+FROM (SELECT *, suffix(project, '-en') AS lang_en FROM m)""")
+def projects_of_listings(spark, d):
+    """Profiles of a project per source and language, from listings and package files."""
+    docs = table(spark, d, "documents")
+    path = F.expr(f"element_at(array({', '.join(map(repr, LISTED))}), int(1 + (doc_id * 5) % {len(LISTED)}))")
+    listing = docs.select(F.concat_ws("-", "source", "lang").alias("project"), "lang", path.alias("path"))
+    text = F.concat(F.lit('{"dependencies": {"express": "4", "left-pad": "1"'), F.when(F.col("lang") == "en", ', "react": "18"').otherwise(""), F.lit('}, "devDependencies": {"@prisma/client": "5", "vue": ""}}'))
+    packages = listing.where("path = 'package.json'").select("project", text.alias("text")).distinct()
+    found = projects.profiles(listing, packages)
+    joined = [F.array_join(c, ",").alias(n) for c, n in (("language", "language"), ("framework", "framework"), ("entryPoints", "entries"))]
+    return found.select("project", "structure", *joined, F.get("testPatterns", F.lit(0)).alias("first_tests"))
+
+
 # --- budgets
 
 MODELS = ["gpt-4o", "gpt-4o-mini", "o3-mini-2025", "Claude-3.5-Sonnet", "claude-3-opus", "llama-3-70b-instruct", "unknown", "Mixtral-8x7b"]

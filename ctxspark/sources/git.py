@@ -26,6 +26,8 @@ def log(spark: SparkSession, root: str, commits: int = COMMITS) -> DataFrame:
 
 def changed(spark: SparkSession, root: str, base: str = "main") -> DataFrame:
     """(path) of sources that differ from base, or from the last commit where base isn't known."""
+    if base.startswith("-"):
+        raise ValueError("base is a branch or commit, not an option")
     try:
         text = _git(root, "diff", "--name-only", f"{base}...HEAD", "--")
     except (OSError, subprocess.SubprocessError):

@@ -8,6 +8,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Fixed value: the configuration's version.
 VERSION = "1.0.0"
 CONFIG = os.path.join(".ctxspark", "config.json")
 # Marker files and suffixes of languages.
@@ -35,6 +36,7 @@ FRAMEWORKS = {
     "angular": "angular", "svelte": "svelte", "nestjs": "nestjs", "@nestjs/core": "nestjs", "prisma": "prisma",
     "@prisma/client": "prisma", "mongoose": "mongoose", "sequelize": "sequelize", "typeorm": "typeorm",
 }
+# Frameworks that requirements name.
 PYTHON_FRAMEWORKS = ["django", "flask", "fastapi"]
 # Globs by language, and what is never indexed.
 GLOBS = {
@@ -51,11 +53,19 @@ TESTS = [
     ([".mocharc.yml", ".mocharc.json"], ["test/**/*.js", "test/**/*.ts"]),
     (["pytest.ini", "pyproject.toml"], ["tests/**/*.py", "test_*.py"]),
 ]
+# Test globs of any other project, usual entry points, files of a workspace.
 OTHER_TESTS = ["test/**", "tests/**", "**/*.test.*", "**/*.spec.*"]
 ENTRY_POINTS = [
     "src/index.ts", "src/index.js", "src/main.ts", "src/main.js", "app.js", "app.ts", "server.js", "server.ts", "index.js", "index.ts",
 ]
 WORKSPACES = ["lerna.json", "pnpm-workspace.yaml", "turbo.json"]
+# A project's structure by its folders, in this order: some of the first are there, and some of the second or, without these, a workspace file.
+STRUCTURES = [
+    ({"packages", "apps", "services"}, WORKSPACES, "monorepo", "multi-package"),
+    ({"controllers", "components"}, {"services", "models", "dal"}, "mvc-layered", "component-based"),
+    ({"features", "modules"}, {"features", "modules"}, "feature-based", "feature-based"),
+    ({"src"}, {"src"}, "src-based", "src-based"),
+]
 SCHEMA = (
     "version string, language array<string>, framework array<string>, structure string, include array<string>, "
     "ignore array<string>, testPatterns array<string>, entryPoints array<string>"
@@ -103,13 +113,11 @@ def structure(root: str) -> str:
         dirs = {f.name.lower() for f in os.scandir(root) if f.is_dir()}
     except OSError:
         return "unknown"
-    if dirs & {"packages", "apps", "services"}:
-        return "monorepo" if any(os.path.exists(os.path.join(root, w)) for w in WORKSPACES) else "multi-package"
-    if dirs & {"controllers", "components"}:
-        return "mvc-layered" if dirs & {"services", "models", "dal"} else "component-based"
-    if dirs & {"features", "modules"}:
-        return "feature-based"
-    return "src-based" if "src" in dirs else "flat"
+    for some, more, both, else_ in STRUCTURES:
+        if dirs & some:
+            fits = any(os.path.exists(os.path.join(root, w)) for w in more) if more is WORKSPACES else bool(dirs & more)
+            return both if fits else else_
+    return "flat"
 
 
 def detect(root: str = ".") -> dict:
@@ -141,5 +149,3 @@ def load(spark: SparkSession, root: str = ".") -> DataFrame | None:
     """The written configuration as one row, or None."""
     path = os.path.join(root, CONFIG)
     return spark.read.schema(SCHEMA).json(path, multiLine=True) if os.path.exists(path) else None
-
-
