@@ -30,6 +30,7 @@ log = logging.getLogger("term_index")
 
 POSTINGS = "term string, doc_id long, tf long, dl int, batch long, bucket int"
 DOCUMENTS = "doc_id long, dl int, lang string, source string, batch long"
+SOURCE = "doc_id long, text string, lang string, source string"
 COLUMNS = ["doc_id", "text", "lang", "source"]
 
 
@@ -66,8 +67,10 @@ def _adder(output: str, buckets: int):
 
 def run(spark: SparkSession, source: str, output: str, checkpoint: str, buckets: int = 16, files_per_batch: int = 1000) -> DataFrame:
     """Take in what is new under source; returns the postings that count."""
-    kinds = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    for table, kinds, by in (("postings", POSTINGS, ["batch", "bucket"]), ("documents", DOCUMENTS, ["batch"])):
+        # so that an index of nothing can be read as well
+        spark.createDataFrame([], kinds).write.mode("ignore").partitionBy(*by).parquet(f"{output}/{table}")
+    stream = spark.readStream.schema(SOURCE).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     rows = stream.select(*COLUMNS, F.col("_metadata.file_modification_time").alias("changed"), F.col("_metadata.file_path").alias("file"))
     query = rows.writeStream.foreachBatch(_adder(output, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:

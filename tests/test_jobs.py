@@ -79,6 +79,23 @@ def test_term_index_from_nothing_and_from_parts_is_the_same(spark, index, tmp_pa
     assert [(-round(r["score"], 9), r["doc_id"]) for r in term_index.ask(spark, index["output"], question).collect()] == best
 
 
+def test_term_index_of_nothing_yet(spark, index):
+    """A folder without files, then one with other columns, some of them called like the job's own."""
+    os.mkdir(index["source"])
+    assert term_index.run(spark, **index).collect() == [] and term_index.statistics(spark, index["output"]).first()["n"] == 0
+    put(spark, [(1, "alpha beta", "en", "a", 7, "x", 3)], index["source"], DOCS.replace("n_chars", "batch") + ", bucket string, dl int")
+    assert found_postings(term_index.run(spark, **index)) == {(1, "alpha"): (1, 2), (1, "beta"): (1, 2)}
+
+
+def test_context_packs_of_nothing(spark, tmp_path):
+    put(spark, [], str(tmp_path / "docs"))
+    put(spark, [(1, "alpha")], str(tmp_path / "asked"), "item_id long, text string")
+    put(spark, [(1, "alpha", "en", "a", 1)], str(tmp_path / "some"))
+    put(spark, [], str(tmp_path / "none"), "item_id long, text string")
+    for docs, asked in (("docs", "asked"), ("some", "none"), ("docs", "none")):
+        assert context_packs.run(spark, str(tmp_path / docs), str(tmp_path / asked), str(tmp_path / "out")).collect() == []
+
+
 def test_term_index_batch_again(spark, index):
     """A batch that runs twice, as after a failure between its two writes, leaves the rows of one run."""
     from pyspark.sql import functions as F
