@@ -147,8 +147,9 @@ class Versions:
             rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
         else:
             key = KEYS[table]
-            kept = rows.sortWithinPartitions(key).write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true")
-            kept.options(**OPTIONS).parquet(path)
+            kept = rows.sortWithinPartitions(key).write.mode("overwrite").options(**OPTIONS)
+            # a filter has a least size, so a few rows have none: their bounds do
+            (kept if small else kept.option(f"parquet.bloom.filter.enabled#{key}", "true")).parquet(path)
         return self.spark.read.schema(SCHEMAS[table]).parquet(path)
 
     def write_files(self, files: DataFrame, version: int, small: bool = False) -> DataFrame:
