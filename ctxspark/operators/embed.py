@@ -52,3 +52,48 @@ def embed_missing(chunks: DataFrame, embeddings: DataFrame, text: str | Column,
 
     missing = without_embeddings(chunks, embeddings)
     return missing.select(F.col("id").alias("chunk_id"), embedder(model)(F.col(text) if isinstance(text, str) else text).alias("vector"))
+
+
+def _on_worker(path: str) -> str:
+    """A file where it is on this machine, or shipped with `SparkContext.addFile`."""
+    import os
+
+    from pyspark import SparkFiles
+
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
+def onnx_model(model: str, tokenizer: str, most_tokens: int = 256) -> Callable[[], Callable[[list[str]], list[list[float]]]]:
+    """A sentence encoder in ONNX form with its tokenizer file: token vectors are averaged over the text's tokens and brought to unit length.
+
+    The files are loaded once in each task, from a path that is there on every machine or from what `addFile` shipped. Texts are cut
+    after `most_tokens` tokens, as such models ask for. A text without tokens has the zero vector.
+    """
+
+    def load():
+        import numpy as np
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = options.inter_op_num_threads = 1  # Spark has a task for each core
+        session = onnxruntime.InferenceSession(_on_worker(model), options, providers=["CPUExecutionProvider"])
+        pieces = Tokenizer.from_file(_on_worker(tokenizer))
+        pieces.enable_truncation(most_tokens)
+        pieces.enable_padding()
+        wanted = {x.name for x in session.get_inputs()}
+
+        def embed(texts: list[str]) -> list[list[float]]:
+            found = pieces.encode_batch(texts)
+            ids, mask = (np.array([getattr(x, name) for x in found], np.int64).reshape(len(found), -1) for name in ("ids", "attention_mask"))
+            feeds = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+            if not ids.size:
+                return [[0.0] * (session.get_outputs()[0].shape[-1] or 0) for _ in texts]
+            vectors = session.run(None, {k: v for k, v in feeds.items() if k in wanted})[0]
+            mean = (vectors * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1), 1)[:, None]
+            norms = np.linalg.norm(mean, axis=1, keepdims=True)
+            return (mean / np.where(norms > 0, norms, 1)).tolist()
+
+        return embed
+
+    return load
