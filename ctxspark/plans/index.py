@@ -7,14 +7,14 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ctxspark.functions.signature import signature
 from ctxspark.functions.text import first_filled, searchable_text, tokenize
 from ctxspark.operators import bm25, budget, chunker, context, embed, hybrid, maintained, postings, recency, report
 from ctxspark.sources import files as scanning
-from ctxspark.sources import git
+from ctxspark.sources import git, sinks
 from ctxspark.sources.versions import Commit, Versions, bucket_of
 from ctxspark.streaming import incremental
 
@@ -179,6 +179,22 @@ class Index:
     def packed_context(self, task: str, file: str | None = None, k: int = 15, model: str | None = None, max_tokens: int | None = None) -> DataFrame:
         return context.pack_tool(self._chunks(), self.edges(), self.search(task, k), file, max_tokens or budget.token_budget(model))
 
+    def context_text(self, task: str, file: str | None = None, style: str = "text", k: int = 15, tokens: int | None = None) -> DataFrame:
+        """One row: the context as text, markdown, a prompt, or json."""
+        listed = self.context(task, file, k, tokens)
+        if style == "json":
+            return sinks.context_json(listed, task, file)
+        return sinks.render(listed, sinks.CONTEXT[style], task=task, target=file or "")
+
+    def diff_text(self, task: str, base: str = "main", style: str = "text", changed: DataFrame | None = None) -> DataFrame:
+        """One row: changed chunks, their dependencies and related code as text or markdown."""
+        found = self.diff(task, base, changed)
+        order = Window.orderBy("file", "ord", "id")  # chunks of changed files, and lists of 20 and 10
+        parts = [found[s].withColumn("position", F.row_number().over(order)).select(F.lit(s).alias("section"), "position", "file", "name", "signature") for s in ("changed", "dependencies")]
+        best = Window.orderBy(F.desc("score"), "id")
+        related = found["related"].withColumn("position", F.row_number().over(best)).select(F.lit("related").alias("section"), "position", "file", "name", "signature")
+        return sinks.render(parts[0].union(parts[1]).union(related), sinks.DIFF[style], task=task)
+
     def auto(self, message: str, file: str) -> DataFrame:
         return context.pack_auto(self._chunks(), self.edges(), self.search(message, 10), file)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +32,62 @@ def as_markdown(listed: DataFrame, title: str) -> DataFrame:
 
 def write_json(found: DataFrame, path: str) -> None:
     found.write.mode("overwrite").json(path)
+
+
+# The texts that command-line users know. Each style: before, (section, heading, line of an entry) in order, after.
+CONTEXT = {
+    "text": ("", [("graph", "ARCH:\n", "  {file}: {signature}\n"), ("search", "\nCONTEXT:\n", "  {file}: {signature}\n")], "\nTASK:\n  {task}\n"),
+    "markdown": (
+        "# Context for: {task}\n\n**Target file:** `{target}`\n\n",
+        [("graph", "## Architecture (dependencies)\n\n", "- `{file}`: `{signature}`\n"), ("search", "\n## Relevant code\n\n", "- **{name}** (`{file}`): `{signature}`\n")],
+        "\n## Task\n\n{task}\n",
+    ),
+    "prompt": (
+        "I'm working on the file `{target}` in a codebase. Here's the relevant context:\n\n",
+        [("graph", "## Codebase Architecture\n\n", "{file}: {signature}\n"), ("search", "\n## Related Code\n\n", "{file}: {signature}\n")],
+        "\n## Task\n\n{task}",
+    ),
+}
+DIFF = {
+    "text": ("", [("changed", "\nCHANGED:\n\n", "  {file}: {signature}\n"), ("dependencies", "\nDEPENDENCIES:\n\n", "  {file}: {signature}\n")], ""),
+    "markdown": (
+        "\n# PR Context: {task}\n\n",
+        [
+            ("changed", "## Changed files ({count} chunks)\n\n", "- `{file}`: `{signature}`\n"),
+            ("dependencies", "\n## Dependencies ({count} chunks)\n\n", "- `{file}`: `{signature}`\n"),
+            ("related", "\n## Related code\n\n", "- **{name}** (`{file}`): `{signature}`\n"),
+        ],
+        "",
+    ),
+}
+
+
+def _filled(template: str, **columns):
+    """A template with columns in its places."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.lit(p) if i % 2 == 0 else F.coalesce(columns[p].cast("string"), F.lit("")) for i, p in enumerate(parts)])
+
+
+def render(listed: DataFrame, style: tuple, counts: dict[str, int] | None = None, **values: str) -> DataFrame:
+    """One row, `text`: the entries of a context (section, position, file, name, signature) in a style of CONTEXT or DIFF.
+
+    values: task and target. counts: how many a section has, if it shows only its first. Entries are result lists, not corpora.
+    """
+    before, sections, after = style
+    given = {k: F.lit(v) for k, v in values.items()}
+    signed = {"file": short_path("file"), "name": F.col("name"), "signature": first_filled("signature", "name")}
+    parts = [_filled(before, **given)]
+    for section, heading, line in sections:
+        entry = F.when(F.col("section") == section, F.struct("position", _filled(line, **signed).alias("line")))
+        found = F.collect_list(entry)
+        count = F.lit(counts[section]) if counts and section in counts else F.size(found)
+        parts += [_filled(heading, count=count, **given), F.array_join(F.transform(F.sort_array(found), lambda x: x["line"]), "")]
+    return listed.agg(F.concat(*parts, _filled(after, **given)).alias("text"))
+
+
+def context_json(listed: DataFrame, task: str, target: str | None) -> DataFrame:
+    """One row: the same context as a JSON object."""
+    entry = F.struct(short_path("file").alias("file"), "name", first_filled("signature", "name").alias("signature"), F.coalesce("score", F.lit(1.0)).alias("score"), F.col("section").alias("source"))
+    found = F.transform(F.sort_array(F.collect_list(F.struct("section", "position", entry.alias("e")))), lambda x: x["e"])
+    whole = F.struct(F.lit(task).alias("task"), F.lit(target).alias("file"), found.alias("entries"), F.size(found).alias("totalEntries"))
+    return listed.agg(F.to_json(whole, {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))

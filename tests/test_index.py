@@ -141,3 +141,31 @@ def test_names_and_cases(spark):
         paths.resolved(F.lit("/a/b"), F.lit("../c/./d.ts")).alias("r"), tx.quarter_tokens(F.lit("abcde")).alias("q"),
     ).first()
     assert tuple(row) == ("Data access", "b", "b/c.ts", "/a/c/d.ts", 12)
+
+
+def test_rendered_context(spark):
+    rows = [("graph", 2, "/x/y/b.ts", "g", "", None), ("graph", 1, "/x/y/a.ts", "f", "function f()", None), ("search", 1, "z.ts", "h", "h(x)", 0.25)]
+    listed = spark.createDataFrame(rows, "section string, position int, file string, name string, signature string, score double")
+    text = lambda style: sinks.render(listed, sinks.CONTEXT[style], task="fix it", target="y/a.ts").first()["text"]
+    assert text("text") == "ARCH:\n  y/a.ts: function f()\n  y/b.ts: g\n\nCONTEXT:\n  z.ts: h(x)\n\nTASK:\n  fix it\n"
+    assert text("markdown") == (
+        "# Context for: fix it\n\n**Target file:** `y/a.ts`\n\n## Architecture (dependencies)\n\n- `y/a.ts`: `function f()`\n- `y/b.ts`: `g`\n"
+        "\n## Relevant code\n\n- **h** (`z.ts`): `h(x)`\n\n## Task\n\nfix it\n"
+    )
+    assert text("prompt").startswith("I'm working on the file `y/a.ts`") and text("prompt").endswith("z.ts: h(x)\n\n## Task\n\nfix it")
+    import json
+
+    found = json.loads(sinks.context_json(listed, "fix it", None).first()["json"])
+    assert found["file"] is None and found["totalEntries"] == 3 and found["entries"][2] == {"file": "z.ts", "name": "h", "signature": "h(x)", "score": 0.25, "source": "search"}
+    assert sinks.render(listed.limit(0), sinks.DIFF["markdown"], task="t").first()["text"] == "\n# PR Context: t\n\n## Changed files (0 chunks)\n\n\n## Dependencies (0 chunks)\n\n\n## Related code\n\n"
+
+
+def test_texts_of_an_index(spark, root):
+    index = Index(spark, str(root))
+    index.build()
+    login = next(r["file"] for r in index.store.table("chunks").collect() if r["name"] == "loginUser")
+    text = index.context_text("login user", login, tokens=500).first()["text"]
+    assert text.startswith("ARCH:\n") and "src/login.ts: export function loginUser(name: string)" in text and text.endswith("TASK:\n  login user\n")
+    changed = spark.createDataFrame([("src/db.ts",)], "path string")
+    text = index.diff_text("login", style="markdown", changed=changed).first()["text"]
+    assert "## Changed files (2 chunks)\n\n- `src/db.ts`: `export const db = (x) =>`\n" in text and "## Dependencies (2 chunks)" in text
