@@ -102,6 +102,6 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, ignor
 
 
 def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, mtime, code) of these files alone."""
-    files = spark.read.format("binaryFile").load(paths)
+    """(path, mtime, code) of these files alone; names such as `[id].ts` aren't patterns."""
+    files = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths])
     return files.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), F.col("modificationTime").alias("mtime"), _text())

@@ -150,8 +150,9 @@ def test_builds_equal_fresh_ones(spark, root, tmp_path, monkeypatch):
     read.clear()
     # a file that specifiers waited for: `./lib` and `../lib/index` now mean it, and nothing else is read
     put(root, "src/lib/index.ts", "export const lib = 1;\n")
+    put(root, "src/lib/[id] {a}.ts", "export const odd = 1;\n")
     index.build()
-    assert read == [{"index.ts"}]
+    assert read == [{"index.ts", "[id] {a}.ts"}]
     same_as_fresh(spark, index, root, tmp_path)
     # one that takes the place of another candidate, one that goes, one that changes its imports
     put(root, "src/lib.ts", "import './c';\nexport const nearer = 1;\n")
