@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import gc
-from functools import lru_cache
 from itertools import islice
 
 from pyspark.sql import DataFrame
@@ -339,7 +338,7 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@common.worker_cache
 def codec(path: str, pattern: str) -> Codec:
     """One in each worker. Its tables are long-lived and would be searched for cycles again and again."""
     gc.freeze()

@@ -6,7 +6,9 @@ exactly those six bytes, and UTF-8 never uses them inside a longer character.
 
 from __future__ import annotations
 
+import gc
 import os
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +38,31 @@ def release() -> None:
         trim(0)
 
 
+_KEPT: dict = {}
+
+
+def worker_cache(function):
+    """One result, kept in each worker for the tasks of its own operator."""
+    cached = _KEPT[function.__module__] = lru_cache(maxsize=2)(function)
+    return cached
+
+
+def make_room(module: str) -> None:
+    """Drop what other operators keep in this worker: its next task may be anyone's."""
+    others = [cached for owner, cached in _KEPT.items() if owner != module and cached.cache_info().currsize]
+    for cached in others:
+        cached.cache_clear()
+    if others:
+        gc.unfreeze()
+        gc.collect()
+        release()
+
+
 def tidy(function):
-    """A function over batches that gives memory back when its task ends."""
+    """A function over batches that gives memory back when its task ends, and has what other operators keep dropped when it begins."""
 
     def tidied(batches):
+        make_room(function.__module__)
         try:
             yield from function(batches)
         finally:

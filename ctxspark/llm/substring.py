@@ -395,11 +395,15 @@ def repeated_places(docs: DataFrame, text: str = "text") -> DataFrame:
     of_repeated = sc.broadcast(_bitmap(repeated.select("a"), _key_column, sizes["many"] + windows.count(), 1))
     places = corpus.mapInArrow(common.tidy(_place_scan(maybe, single, of_repeated)), "a long, b long, t binary, place long")
     exact = repeated.distinct().select(F.col("a").bitwiseXOR(F.lit(1)).alias("x"), F.col("b").alias("y"))
-    return (
+    found = common.cut(
         places.join(exact, (F.col("a").bitwiseXOR(F.lit(1)) == F.col("x")) & (F.col("b") == F.col("y")), "left_semi")
         .groupBy("t")
         .agg(F.collect_set("place").alias("places"))
     )
+    # what workers hold goes before the texts are joined and cut
+    for held in (maybe, of_shared, single, of_repeated):
+        held.destroy()
+    return found
 
 
 CUT = common.struct("n_words long, n_removed long, kept binary, kept_sha256 string")

@@ -157,7 +157,7 @@ class Encoder:
         return np.insert(ids, ends, END), ends + np.arange(1, len(ends) + 1)
 
 
-@lru_cache(maxsize=1)
+@common.worker_cache
 def encoder(path: str) -> Encoder:
     """One in each worker."""
     return Encoder(path)
