@@ -16,7 +16,7 @@ blocks stay where they are: texts are dealt in groups, the distinct n-grams of a
 the levels come back to the group's texts, once for both passes. The answers are those that a broadcast filter gives. The base score needs
 exact counts: those of the commonest words are broadcast (at most `HEAD_WORDS`), those of all others are joined.
 
-Defined results: null text counts as empty; an empty text is its end mark; repeated rows count and come out as often as they
+Defined results: null text counts as empty; an empty text is its end mark; a very long text is scored whole, its words held at once; repeated rows count and come out as often as they
 came in; without training rows all counts are zero; an empty table gives an empty result. Other columns are ignored. Words are
 compared by XXH64.
 """

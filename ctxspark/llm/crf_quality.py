@@ -6,8 +6,8 @@ most `TRAIN_DOCUMENTS` labelled documents (those with the smallest hashes of the
 `TRAIN_LINES` of their lines' features; all documents are scored whole.
 
 Defined results: null text counts as empty; an empty text is one empty line and gets a score as well; labels that are null don't train, of several for one id the largest does;
-without labels of both kinds every score is the share of good labels (1 if there are none); repeated rows come out as often as
-they came in; an empty table gives an empty result; other columns pass through.
+without labels of both kinds every score is the share of good labels (1 if there are none); a very long text is
+scored whole, with all its lines' features at once (some KB a line); repeated rows come out as often as they came in; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations

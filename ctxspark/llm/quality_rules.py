@@ -12,8 +12,8 @@ everywhere. Small hosts stand near the corpus rate, with a wide posterior, and a
 Sums are partial before the shuffle. Verdicts are broadcast up to a checked number of hosts, else joined on a key that adaptive execution
 may split, so a host with a third of all rows is no hot task.
 
-Defined results: null text counts as empty (no words, base_failed); null hosts are one host of their own; repeated rows each
-count and come out as often as they came in; an empty table gives an empty result; other columns pass through.
+Defined results: null text counts as empty (no words, base_failed); null hosts are one host of their own; a very long text is counted whole, with
+its windows as numbers, some 100 bytes a word; repeated rows each count and come out as often as they came in; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ WORD_LENGTHS = (2.5, 14.0)
 #: A host is bad for a rule if its rate is above the corpus rate with this probability (that many standard deviations), or is this high.
 CERTAINTY, DEVIATIONS = 0.8, 0.8416
 MOST = 0.5
+#: Words of a text from which on its windows are counted as numbers.
+MANY_WORDS = 100_000
 #: Hosts up to which their verdicts are broadcast; beyond that they are joined.
 BROADCAST_HOSTS = 100_000
 RULES = ("symbols", "lines", "length")
@@ -41,8 +43,26 @@ SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 
 
+def _repeat_words_of_many(words: list[bytes]) -> int:
+    """The same for very long texts: windows are numbered step by step, equal ones alike."""
+    import numpy as np
+
+    known: dict[bytes, int] = {}
+    each = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    window = each
+    for step in range(1, 5):
+        _, window = np.unique(window[:-1] * len(known) + each[step:], return_inverse=True)
+    at = np.flatnonzero(np.bincount(window)[window] > 1)
+    edges = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edges, at, 1)
+    np.add.at(edges, at + 5, -1)
+    return int((np.cumsum(edges[:-1]) > 0).sum())
+
+
 def repeat_words(words: list[bytes]) -> int:
     """Words within five-word windows that occur twice or more."""
+    if len(words) > MANY_WORDS:
+        return _repeat_words_of_many(words)
     grams = list(zip(words, words[1:], words[2:], words[3:], words[4:]))
     if len(set(grams)) == len(grams):
         return 0
@@ -67,6 +87,7 @@ def counts(text: bytes) -> tuple[int, int, int, int, int, int]:
 def _counts(text):
     import pyarrow as pa
 
+    common.make_room(__name__)
     columns = list(zip(*map(counts, common.texts(text)))) or [[]] * len(COUNTS)
     common.release()
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=COUNTS.names)

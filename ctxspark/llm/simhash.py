@@ -9,6 +9,7 @@ would have no size bound. A shard over `SHARD_ROWS` is cut again, by the remaini
 way, until its trees are small; only equal fingerprints can't be cut, and those are merged beforehand.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and link like others;
+a very long text is hashed whole, with eight bytes a shingle and its words held at once;
 repeated rows come out as often as they came in; a null doc_id gets its group's least id (null if none);
 an empty table gives an empty result. Other columns are ignored.
 """

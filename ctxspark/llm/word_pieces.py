@@ -5,7 +5,7 @@ matching goes on after the longest pieces of what was read are popped, and the n
 takes one step a byte (amortised), whatever the vocabulary.
 
 Defined results: words are runs of anything but ASCII white space; null text counts as empty and has no tokens; a word that can't be cut
-into pieces is one unknown token; repeated rows come out as often as they came in; an empty table gives an empty result; other
+into pieces is one unknown token; a very long text is split whole, its words held at once; repeated rows come out as often as they came in; an empty table gives an empty result; other
 columns pass through.
 """
 

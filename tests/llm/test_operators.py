@@ -327,6 +327,18 @@ def test_quality_counts(spark, small, hard, hard_docs):
         assert not any(r["base_failed"] and r["kept"] for r in found)
 
 
+def test_windows_of_many_words():
+    r = np.random.default_rng(6)
+    for n in (0, 4, 5, 6, 50, 400):
+        for kinds in (1, 2, 9, 1000):
+            words = [b"w%d" % k for k in r.integers(0, kinds, n)]
+            if n >= 5:
+                assert quality_rules._repeat_words_of_many(words) == quality_rules.repeat_words(words)
+    long = [b"a%d" % (i % 70_000) for i in range(150_000)]
+    assert quality_rules.repeat_words(long) == 150_000 and quality_rules.repeat_words(long[:70_004] + [b"z%d" % i for i in range(50_000)]) == 0
+    assert quality_rules.counts(b" ".join(long))[5] == 150_000
+
+
 GOOD = "These are plain words that nobody would ever want to reject from a corpus, number {}."
 NOISY = "Bad### words$$$ with*** many%%% signs&&& in||| each<<< and>>> every### one$$$ here {}."
 
