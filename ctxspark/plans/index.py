@@ -105,9 +105,12 @@ class Index:
             again = again.union(maintained.touched(specifiers, changed.where("status <> 'changed'"))).distinct().checkpoint()
             mark = again.select(F.col("file").alias("path"), F.lit(True).alias("again"))
             listed = listed.join(mark, "path", "left").withColumn("edges_version", F.when(F.col("again"), now).otherwise(F.col("edges_version"))).drop("again")
-        listed = self.store.write_files(listed, version, small)
         specifiers = self.store.stored("specifiers").join(listed.select(key, "version"), ["file", "version"])
-        edges = self.store.write("edges", maintained.resolve(specifiers.join(again, "file", "left_semi"), listed), version, small)
+        links = maintained.resolve(specifiers.join(again, "file", "left_semi"), listed)
+        with ThreadPoolExecutor(2) as pool:
+            run = inheritable_thread_target(self.spark)
+            tables = pool.submit(run(self.store.write_files), listed, version, small), pool.submit(run(self.store.write), "edges", links, version, small)
+            listed, edges = (t.result() for t in tables)
         named = lambda df: df.select(F.col("file").alias("source_file"), "target_file").distinct()
         old = named(self.store.rows("edges", at))
         new = named(self.store.stored("edges").join(listed.select(key, F.col("edges_version").alias("version")), ["file", "version"]))
