@@ -752,6 +752,35 @@ def test_similar_texts(spark, small, hard_docs, monkeypatch, small_blocks):
     assert sorted(kept, key=str) == sorted({least for _, least in expected}, key=str)
 
 
+def test_members_of_a_hot_shard_all_meet(spark, monkeypatch):
+    """Two fingerprints that share nothing but one very frequent min-hash are candidates, whatever blocks they are in."""
+    monkeypatch.setattr(similar_texts, "LEADERS", 4)  # before, blocks met through so many
+    r = np.random.default_rng(13)
+    values = []
+    for _ in range(150):
+        value = int(r.integers(0, 2**64, dtype=np.uint64))
+        values += [value, value ^ sum(1 << int(b) for b in r.choice(64, 6, replace=False))]
+    signed = [v - 2**64 if v >= 2**63 else v for v in values]
+    rows = [(v, [7] + [1000 * i + k for k in range(1, similar_texts.KEYS)]) for i, v in enumerate(signed)]
+    found = similar_texts.candidates(spark.createDataFrame(rows, "fp long, mins array<long>"), 8, 16).collect()
+    pairs = [(a, b) for b in range(len(values)) for a in range(b) if (values[a] ^ values[b]).bit_count() <= 8]
+    assert len(pairs) >= 150
+    at = {v: i for i, v in enumerate(signed)}
+    assert components(len(values), [(at[x["u"]], at[x["v"]]) for x in found]) == components(len(values), pairs)
+
+
+def test_sets_are_shuffled_once(spark, monkeypatch):
+    """Texts of rows that aren't repeated go to their class's task only: no shuffle by digest before."""
+    plans = []
+    cut = common.cut
+    monkeypatch.setattr(common, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[:58] + [f"x{i}", "y"])) for i in range(9)], "doc_id long, text string")
+    assert similar_texts.one_of_each(docs).count() == 1
+    told = [p for p in plans if "FlatMapGroupsInArrow" in p]
+    assert len(told) == 1 and "shingles" in told[0] and "first(shingles" not in told[0]
+
+
 def test_linked_sets_are_all_found():
     r = np.random.default_rng(12)
     for _ in range(60):
