@@ -72,19 +72,38 @@ def pack_greedy(entries: DataFrame, budget: int, by: list[str] | None = None) ->
 def pack_text(text: str | Column, budget: int) -> Column:
     """struct(text, tokens): the text, or its leading lines within the budget less the reserve, and a note of what is left out."""
     text = F.col(text) if isinstance(text, str) else text
-    whole = estimate_tokens(text)
     lines = F.split(text, "\n")
+    # transforms over one element bind what is costly once; without them each use would be worked out again
+
+    def cut(lines: Column, whole: Column, folded: Column) -> Column:
+        head = F.array_join(F.slice(lines, F.lit(1), folded["kept"]), "\n")
+        note = F.concat(head, F.lit("\n... (truncated, "), (whole - folded["n"]).cast("string"), F.lit(" tokens omitted)"))
+        return F.struct(note.alias("text"), (folded["n"] + TRUNCATION_RESERVE).alias("tokens"))
+
     # lines are counted first and joined once, so that a long text isn't copied line by line
-    folded = F.aggregate(
-        F.transform(lines, estimate_tokens),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("kept"), F.lit(True).alias("open")),
-        lambda a, cost: F.when(
-            a["open"] & (a["n"] + cost <= budget - TRUNCATION_RESERVE),
-            F.struct((a["n"] + cost).alias("n"), (a["kept"] + 1).alias("kept"), F.lit(True).alias("open")),
-        ).otherwise(F.struct(a["n"].alias("n"), a["kept"].alias("kept"), F.lit(False).alias("open"))),
-    )
-    head = F.array_join(F.slice(lines, F.lit(1), folded["kept"]), "\n")
-    cut = F.concat(head, F.lit("\n... (truncated, "), (whole - folded["n"]).cast("string"), F.lit(" tokens omitted)"))
-    return F.when(whole <= budget, F.struct(text.alias("text"), whole.alias("tokens"))).otherwise(
-        F.struct(cut.alias("text"), (folded["n"] + TRUNCATION_RESERVE).alias("tokens"))
+    def fold(lines: Column) -> Column:
+        return F.aggregate(
+            lines,
+            F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("kept"), F.lit(True).alias("open")),
+            lambda a, line: F.when(~a["open"], a).otherwise(_taken(a, estimate_tokens(line), budget - TRUNCATION_RESERVE)),
+        )
+
+    def packed(whole: Column) -> Column:
+        short = F.struct(text.alias("text"), whole.alias("tokens"))
+        long = F.get(F.transform(F.array(lines), lambda x: F.get(F.transform(F.array(fold(x)), lambda folded: cut(x, whole, folded)), 0)), 0)
+        return F.when(whole <= budget, short).otherwise(long)
+
+    return F.get(F.transform(F.array(estimate_tokens(text)), packed), 0)
+
+
+def _taken(a: Column, cost: Column, limit: int) -> Column:
+    """The fold's next state: a line is kept if its cost, worked out once, still fits."""
+    return F.get(
+        F.transform(
+            F.array(a["n"] + cost),
+            lambda n: F.when(n <= limit, F.struct(n.alias("n"), (a["kept"] + 1).alias("kept"), F.lit(True).alias("open"))).otherwise(
+                F.struct(a["n"].alias("n"), a["kept"].alias("kept"), F.lit(False).alias("open"))
+            ),
+        ),
+        0,
     )
