@@ -49,7 +49,8 @@ def split_camel(text: str | Column, acronyms: bool = True) -> Column:
 
 def tokenize(text: str | Column, stop_words=STOP_WORDS) -> Column:
     """Lower-case alphanumeric words of two characters or more, camel case split, stop words dropped."""
-    words = F.split(F.regexp_replace(F.lower(split_camel(text)), "[^a-z0-9]", " "), " +")
+    # one space for a run of other characters, and a split at single ones, which needs no pattern
+    words = F.split(F.regexp_replace(F.lower(split_camel(text)), "[^a-z0-9]+", " "), " ")
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stop_words))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,18 +71,22 @@ def term_counts(tokens: str = "tokens") -> Column:
         last = F.size(found)
         at = F.sequence(F.lit(1), last)
         starts = F.filter(at, lambda i: (i == 1) | (F.get(found, i - 1) != F.get(found, i - 2)))
-        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(last + 1))
-        return F.zip_with(starts, ends, lambda i, j: F.struct(F.get(found, i - 1).alias("term"), (j - i).cast("long").alias("tf")))
+
+        def between(starts: Column) -> Column:
+            ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(last + 1))
+            return F.zip_with(starts, ends, lambda i, j: F.struct(F.get(found, i - 1).alias("term"), (j - i).cast("long").alias("tf")))
+
+        return F.get(F.transform(F.array(starts), between), 0)
 
     nothing = F.array().cast("array<struct<term:string,tf:bigint>>")
-    # a transform over one element binds the sorted array once
-    cut = F.get(F.transform(F.array(F.array_sort(tokens)), counted), 0)
+    # a transform over one element binds the sorted array, and the starts, once; sort_array compares without a lambda
+    cut = F.get(F.transform(F.array(F.sort_array(tokens)), counted), 0)
     return F.when(F.size(tokens) > 0, cut).otherwise(nothing)
 
 
-def postings(docs: DataFrame, doc_id: str = "id", tokens: str = "tokens") -> DataFrame:
-    """(term, id, tf, dl): the index form, for stores that are partitioned by term. One row of docs is one document."""
-    counted = docs.select(doc_id, F.size(tokens).alias("dl"), F.explode(term_counts(tokens)).alias("p"))
+def postings(docs: DataFrame, doc_id: str = "id", tokens: str = "tokens", length: Column | None = None) -> DataFrame:
+    """(term, id, tf, dl): the index form, for stores that are partitioned by term. One row of docs is one document. length: if tokens aren't all of it."""
+    counted = docs.select(doc_id, (F.size(tokens) if length is None else length).alias("dl"), F.explode(term_counts(tokens)).alias("p"))
     return counted.select(F.col("p.term").alias("term"), doc_id, F.col("p.tf").alias("tf"), "dl")
 
 
@@ -117,9 +122,13 @@ def top_documents(docs: DataFrame, questions: DataFrame, k: int, doc_id: str = "
     asked = questions.select(F.col(question_id).alias("question"), F.explode(tokens).alias("term")).groupBy("question", "term").agg(F.count("*").alias("times"))
     asked = asked.checkpoint()
     terms = asked.select("term").distinct()
-    row = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("mean")).first()
-    n, mean = row["n"], row["mean"] or 1.0
-    hits = postings(docs, doc_id, tokens).join(sent(terms), "term", "left_semi").checkpoint()
+    docs = docs.select(doc_id, tokens).persist(StorageLevel.DISK_ONLY)  # texts are cut into tokens once
+    try:
+        row = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("mean")).first()
+        n, mean = row["n"], row["mean"] or 1.0
+        hits = postings(docs, doc_id, tokens).join(sent(terms), "term", "left_semi").checkpoint()
+    finally:
+        docs.unpersist()
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * (F.col("dl") / F.lit(mean))))

@@ -103,9 +103,12 @@ def bm25_normalized(spark, d):
 
 @query(_SQL["bm25_dup_terms"])
 def bm25_postings(spark, d):
-    own = ad.tokens(spark, d)
-    row = own.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
-    found = bm.bm25_postings(bm.postings(own), bm.query_tokens(spark, QUERY), row["n"], row["mean"])
+    terms = bm.query_tokens(spark, QUERY)
+    ensure_checkpoint_dir(spark)
+    # texts are read once: what is left of them is their length and the query's terms
+    own = ad.tokens(spark, d).select("id", F.size("tokens").alias("dl"), F.filter("tokens", lambda x: x.isin(*terms)).alias("tokens")).checkpoint()
+    row = own.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+    found = bm.bm25_postings(bm.postings(own, length=F.col("dl")), terms, row["n"], row["mean"])
     return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -116,7 +119,11 @@ def postings_topk(spark, d):
     read = spread(table(spark, d, "documents").select("doc_id", "text", "source", "lang"))
     docs = read.select(ad.file_of().alias("file"), F.col("doc_id").alias("id"), tx.tokenize("text").alias("tokens"))
     own.write("postings", postings.blocks(docs), 1)
-    sizes = docs.groupBy(F.col("file").alias("path")).agg(F.count("*").alias("chunks"), F.sum(F.size("tokens")).alias("tokens"))
+    # texts are cut once: a file's tokens are the frequencies in its blocks
+    none = F.lit(0).cast("long")
+    summed = own.stored("postings").select("file", none.alias("chunks"), F.aggregate("found.tf", none, lambda s, x: s + x).alias("tokens"))
+    sizes = docs.select("file", F.lit(1).cast("long").alias("chunks"), none.alias("tokens")).union(summed)
+    sizes = sizes.groupBy(F.col("file").alias("path")).agg(F.sum("chunks").alias("chunks"), F.sum("tokens").alias("tokens"))
     one = F.lit(1).cast("long")
     listed = own.write_files(sizes.select("path", F.lit(0.0).alias("mtime"), "chunks", "tokens", one.alias("version"), one.alias("edges_version")), 1)
     row = listed.agg(F.count("*").alias("files"), F.sum("chunks").alias("n"), F.sum("tokens").alias("tokens")).first()
