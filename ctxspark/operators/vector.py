@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Vectors that a task compares with a block of queries at once.
+SLICE = 1_024
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -62,7 +66,8 @@ def _best(held, k: int, key: str, embedding: str):
         by_size.pop(0, None)
         stacked = {size: np.stack([queries[i] for i in own]) for size, own in by_size.items()}
         kept: pd.DataFrame | None = None
-        for frame in frames:
+        # a table of scores has a block of queries times SLICE vectors, however many an Arrow batch has
+        for frame in (whole.iloc[at : at + SLICE] for whole in frames for at in range(0, len(whole), SLICE)):
             vectors = [np.array(v if v is not None else [], np.float64) for v in frame[embedding]]
             sizes = np.array([len(v) for v in vectors])
             keys = frame[key].to_numpy()
