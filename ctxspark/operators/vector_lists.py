@@ -24,6 +24,8 @@ from ctxspark.session import ensure_checkpoint_dir
 
 SAMPLE, ROUNDS = 20_000, 8
 BLOCK, QUERIES = 4_096, 1_024
+#: Visits of lists that a task holds before it sends them on, besides those of one query; and vectors assigned to lists at once.
+VISITS, ASSIGNED = 4_096, 1_024
 #: List of vectors without a direction.
 NOWHERE = -1
 #: Angles may be off by rounding.
@@ -95,7 +97,7 @@ def build(vectors: DataFrame, lists: int | None = None, key: str = "vec_id", emb
         import numpy as np
         import pandas as pd
 
-        for frame in frames:
+        for frame in (whole.iloc[at : at + ASSIGNED] for whole in frames for at in range(0, len(whole), ASSIGNED)):
             units, good = _units(list(frame[embedding]), size)
             near, angle = np.full(len(frame), NOWHERE), np.zeros(len(frame))
             if len(held.value) and good.any():
@@ -147,6 +149,9 @@ def _visits(lists: Lists, k: int, floors: bool):
                 else:
                     chosen = sorted(first)
                 rows += [(key, frame["q"].iloc[i], names[j], -(-int(table[j, 0]) // BLOCK)) for j in chosen]
+                if len(rows) >= VISITS:  # each has its query's vector
+                    yield pd.DataFrame(rows, columns=["query_id", "q", "list", "blocks"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["query_id", "q", "list", "blocks"])
 
     return choose
