@@ -45,6 +45,24 @@ def test_a_path_that_comes_back_and_hard_rows(spark, tmp_path):
     assert run(spark, tmp_path) == [(1, "a", "added"), (1, "a", "deleted"), (1, "b", "added"), (3, "a", "added"), (4, "b", "changed")]
 
 
+def test_paths_share_calls_and_state(spark, tmp_path, monkeypatch):
+    """State and timers are a few buckets', however many paths there are; each path has its own events all the same."""
+    monkeypatch.setattr(listings, "BUCKETS", 8, raising=False)
+    put(spark, str(tmp_path / "in"), 1, [(f"p{i}", 1.0) for i in range(300)])
+    put(spark, str(tmp_path / "in"), 2, [(f"p{i}", 1.0 + (i % 5 == 0)) for i in range(300) if i % 3])
+    put(spark, str(tmp_path / "in"), 3, [(f"p{i}", 1.0 + (i % 5 == 0)) for i in range(300) if i % 4])
+    expected = [(1, f"p{i}", "added") for i in range(300)] + [(1, f"p{i}", "deleted") for i in range(300) if i % 3 == 0]
+    expected += [(2, f"p{i}", "changed") for i in range(300) if i % 3 and i % 5 == 0] + [(2, f"p{i}", "deleted") for i in range(300) if i % 3 and i % 4 == 0]
+    expected += [(3, f"p{i}", "added") for i in range(300) if i % 3 == 0 and i % 4]
+    assert run(spark, tmp_path) == sorted(expected)
+    # what the store holds: 225 paths
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", listings.STATE_STORE)
+    try:
+        assert 0 < spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "checkpoint")).count() <= 8
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def test_settings_are_asked_for(spark):
     with pytest.raises(ValueError, match="providerClass"):
         listings.changes(spark.readStream.format("rate").load().selectExpr("'a' as path", "1.0 as mtime", "timestamp as listed"))
