@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,9 +96,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def drop_past(spark: SparkSession) -> None:
-    """Let the driver's cleaner find the shuffles, broadcasts and checkpoints that nothing refers to any more; it only hears of them by a collection."""
-    spark.sparkContext._jvm.System.gc()
+#: Seconds that py4j may take to hand over what Python let go of: its thread for that looks once a second.
+HANDOVER_S = 1.5
+
+
+def drop_past(spark: SparkSession, wait: bool = False) -> None:
+    """Let the driver's cleaner find the shuffles, broadcasts and checkpoints that nothing refers to any more; it only hears of them by a
+    collection, and Python's references stand in cycles, so they take one too. wait: those just let go of count as well."""
+    for _ in range(2 if wait else 1):
+        gc.collect()
+        time.sleep(HANDOVER_S if wait else 0)
+        spark.sparkContext._jvm.System.gc()
 
 
 def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:

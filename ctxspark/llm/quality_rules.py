@@ -83,7 +83,6 @@ def counts(text: bytes) -> tuple[int, int, int, int, int, int]:
     return len(words), chars, symbols, len(lines), len(lines) - len(set(lines)), repeat_words(words)
 
 
-@F.arrow_udf(COUNTS)
 def _counts(text):
     import pyarrow as pa
 
@@ -93,6 +92,10 @@ def _counts(text):
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=COUNTS.names)
 
 
+# else a filter over the counts would be pushed below the call and run it once more
+_counts = F.arrow_udf(_counts, COUNTS).asNondeterministic()
+
+
 def with_counts(docs: DataFrame, out: str = "quality", text: str = "text") -> DataFrame:
     common.bounded_batches(docs.sparkSession)
     return docs.withColumn(out, _counts(F.col(text).cast("string")))

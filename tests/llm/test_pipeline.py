@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ctxspark.llm import bpe, mixing, substring
+from ctxspark.llm import bpe, common, mixing, substring
 from tests.llm.test_operators import WORD, alike_by_force, counts_by_force
 
 SF = "/root/testdata/sf0.001"
@@ -85,6 +85,17 @@ def test_run_is_brute_force(spark, expected, tmp_path):
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) == sorted(rows)
 
 
+def test_quality_rules_cut_no_texts(spark, hard_docs, monkeypatch):
+    """A copy of all texts would stay on disk while the second stage runs; and counting them again costs one call a row, not two."""
+    cut, columns = common.cut, []
+    monkeypatch.setattr(common, "cut", lambda df: columns.append(df.columns) or cut(df))
+    found = corpus_pipeline.keep_good(spark, spark.createDataFrame(*hard_docs), SF)
+    assert columns and not any("text" in x for x in columns)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {r["doc_id"] for r in found.collect()} == {None, 1, 8}
+
+
 def test_stages_write_and_read(spark, hard_docs, tmp_path):
     """Each stage's rows as Parquet are the next one's documents; hard rows and other columns get through."""
     rows, schema = hard_docs
